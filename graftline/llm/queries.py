@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.llm import components, frequency, leak, near, setjoin, spans
+from graftline.llm import components, frequency, leak, mixture, near, setjoin, spans, truncation
 from graftline.runtime import cut, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,4 +96,27 @@ def p8_item_report(spark: SparkSession, d: str) -> DataFrame:
     return leak.leak_report(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
+@query
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed and shuffled copies, with their texts."""
+    return mixture.mixture(read(spark, d, "documents"), read(spark, d, "mix_targets"))[0]
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, next to the shares wanted."""
+    return mixture.mixture(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(read(spark, d, "documents")).filter("truncated").select("doc_id").distinct()
+
+
+@query
+def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.source_rates(truncation.judged(read(spark, d, "documents")))
+
+
 SQL: dict[str, str] = {}
