@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.llm import components, frequency, leak, mixture, near, setjoin, spans, truncation
+from graftline.llm import components, frequency, handwritten, leak, mixture, near, setjoin, spans, truncation
 from graftline.runtime import cut, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged(read(spark, d, "source_files"), read(spark, d, "repo_configs")).filter("reason is not null").select("file_id")
+
+
+@query
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Files per repository and reason."""
+    j = handwritten.judged(read(spark, d, "source_files"), read(spark, d, "repo_configs"))
+    return j.groupBy("repo_name", F.coalesce("reason", F.lit("hand-written")).alias("reason")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate(read(spark, d, "similar_groups"), read(spark, d, "regions"))
