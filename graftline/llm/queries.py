@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.llm import components, frequency, handwritten, leak, mixture, near, setjoin, spans, truncation
+from graftline.llm import components, frequency, handwritten, leak, mixture, near, parsing, setjoin, spans, truncation
 from graftline.runtime import cut, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,23 @@ def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return frequency.marked(read(spark, d, "shingles")).select("content", "n_rows", F.col("n_records").alias("n_regions"), "mark")
 
 
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.checked(read(spark, d, "source_files")).filter("n_errors > 0").select("file_id")
+
+
+@query
+def p5_repository_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid files per repository and language, next to what the scan reported."""
+    return parsing.repository_rates(read(spark, d, "source_files"), read(spark, d, "perf_results"))
+
+
+@query
+def p5_language_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """Valid files per language."""
+    return parsing.acceptance(read(spark, d, "source_files"))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.lists_to_regions(read(spark, d, "reference_lists"), read(spark, d, "shingles")).select("list_id", "region_id")
