@@ -48,19 +48,22 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]
     return (F.broadcast(df) if small else df), small
 
 
-def heavy_keys(counts: DataFrame, n: str = "n", share: int = 1000) -> DataFrame:
-    """The keys that hold more than a ``share``-th of all rows: fewer than ``share`` of
-    them can exist, so they may be broadcast at any scale."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.filter(F.col(n) > F.lit(max(total // share, 1)))
+#: Rows of one key that a single task can take without trouble.
+KEY_ROWS = 100_000
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n", share: int = 1000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n", total: int | None = None, share: int = 1000) -> DataFrame:
     """Inner join of many ``left`` rows with one ``right`` row per key, ``n`` being the
-    key's rows on the left. Keys above 1/``share`` of all rows are broadcast (fewer than
-    ``share`` exist), so that no task gets a hot key; the others are shuffled."""
-    total = right.agg(F.sum(n)).first()[0] or 0
-    limit = max(total // share, 1)
+    key's rows on the left and ``total`` (counted if not given) a bound of their sum.
+
+    Keys above 1/``share`` of all rows are broadcast (fewer than ``share`` can exist), so
+    that no task gets a hot key; the others are shuffled. Where not even all rows together
+    are too many for one task, no key can be hot and the join is a plain one."""
+    if total is None:
+        total = right.agg(F.sum(n)).first()[0] or 0
+    if total <= KEY_ROWS:
+        return left.join(right, on)
+    limit = max(total // share, KEY_ROWS)
     hot = F.broadcast(right.filter(F.col(n) > limit))
     cold = right.filter(F.col(n) <= limit)
     rest = left.join(hot.select(*on), on, "left_anti")
@@ -77,4 +80,4 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
-__all__ = ["BROADCAST_ROWS", "Window", "bounded", "cut", "ensure_checkpoint_dir", "heavy_keys", "latest", "read", "skew_join", "spread"]
+__all__ = ["BROADCAST_ROWS", "Window", "bounded", "cut", "ensure_checkpoint_dir", "latest", "read", "skew_join", "spread"]
