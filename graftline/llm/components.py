@@ -4,37 +4,30 @@
 al., "Connected components in MapReduce and beyond", 2014) over an edge table until an
 iteration changes nothing. Every rewrite is one pre-aggregated minimum and one join, so
 no adjacency list is ever gathered; the minima of hubs are broadcast (fewer than 1,000
-nodes can hold over a thousandth of the edges), the others are shuffled.
+nodes can hold over a thousandth of the edges), those of other nodes are shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graftline.runtime import cut, skew_join
 
-HOT_SHARE = 1000
 
-
-def _rewrite(keyed: DataFrame, minima: DataFrame) -> DataFrame:
-    return skew_join(keyed, minima, ["k"], "n", HOT_SHARE)
-
-
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int | None = None) -> DataFrame:
     """(u, v) with u < v becomes (m(u), v), m(u) being the least of u and its neighbours."""
     both = edges.select(F.col("u").alias("k"), F.col("v").alias("o"), F.lit(1).alias("one")).unionByName(edges.select(F.col("v").alias("k"), F.col("u").alias("o"), F.lit(0).alias("one")))
     minima = both.groupBy("k").agg(F.least(F.col("k"), F.min("o")).alias("m"), F.sum("one").cast("long").alias("n")).filter("n > 0")
     up = edges.select(F.col("u").alias("k"), F.col("v").alias("o"))
-    return _rewrite(up, minima).select(F.col("m").alias("u"), F.col("o").alias("v")).filter("u <> v").distinct()
+    return skew_join(up, minima, ["k"], total=total).select(F.col("m").alias("u"), F.col("o").alias("v")).filter("u <> v").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int | None = None) -> DataFrame:
     """For each v, its smaller neighbours and v itself are linked to the least of them."""
     down = edges.select(F.col("v").alias("k"), F.col("u").alias("o"))
     minima = down.groupBy("k").agg(F.min("o").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = _rewrite(down, minima).filter("o <> m").select(F.col("m").alias("u"), F.col("o").alias("v"))
+    moved = skew_join(down, minima, ["k"], total=total).filter("o <> m").select(F.col("m").alias("u"), F.col("o").alias("v"))
     return moved.unionByName(minima.select(F.col("m").alias("u"), F.col("k").alias("v"))).distinct()
 
 
@@ -56,7 +49,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     for _ in range(max_rounds):
         if not state[0]:
             break
-        cur = cut(small_star(large_star(cur)))
+        #: a rewrite never adds edges, so their number bounds every key's rows
+        cur = cut(small_star(large_star(cur, state[0]), state[0]))
         now = _state(cur)
         if now == state:
             break
@@ -86,6 +80,3 @@ def consolidate(groups: DataFrame, regions: DataFrame, min_similarity: float = 0
     """``(region_id, component_id)`` of every region that a match links to another."""
     found = connected_components(match_links(groups, regions, min_similarity))
     return found.select(F.col("node").alias("region_id"), F.col("component").alias("component_id"))
-
-
-EDGE_SCHEMA = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
