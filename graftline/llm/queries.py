@@ -148,4 +148,51 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_rates(truncation.judged(read(spark, d, "documents")))
 
 
-SQL: dict[str, str] = {}
+_COMPONENTS = """
+und as (select u as x, v as y from link union select v, u from link),
+walk as (select x as node, x as seen from und union select w.node, u.y from walk w join und u on u.x = w.seen),
+comp as (select node, min(seen) as component from walk group by node)
+"""
+_MATCHES = f"""
+with recursive g as (select row_number() over () as id, list_distinct(list_filter(regions, lambda x: x is not null)) as ms, case when similarity > 1 then similarity / 100 else similarity end as s from similar_groups where similarity is not null and not isnan(similarity)),
+m as (select id, unnest(ms) as r from g where s >= 0.8),
+k as (select m.id, m.r from m where r in (select region_id from regions)),
+link as (select distinct a.r as u, k.r as v from (select id, min(r) as r from k group by id) a join k using (id) where a.r <> k.r),
+{_COMPONENTS}
+"""
+_SETS = "(select distinct region_id, content from shingles where content is not null)"
+_OVERLAP = f"""
+s as (select region_id, content, count(*) over (partition by region_id) as n from {_SETS}),
+l as (select list_id, content, count(*) over (partition by list_id) as n from (select distinct list_id, unnest(shingles) as content from reference_lists) where content is not null),
+p as (select list_id, region_id, count(*) as i, any_value(l.n) as nl, any_value(s.n) as ns from l join s using (content) where l.n >= 8 and s.n >= 8 group by list_id, region_id)
+"""
+_MARKED = f"""
+with t as (select count(distinct region_id) as t from shingles),
+r as (select content, count(*) as n_rows from (select distinct region_id, seq, content from shingles where content is not null) group by content),
+f as (select content, count(*) as n_regions from {_SETS} group by content)
+select content, n_rows, n_regions, case when n_regions = 1 then 'rare' when n_regions >= 0.05 * t then 'common' end as mark from f join r using (content), t
+"""
+
+#: The plain SQL of those queries that SQL can state over whole tables.
+SQL: dict[str, str] = {
+    "p2_found": _MATCHES + "select node as region_id, component as component_id from comp",
+    "p2_group_sizes": _MATCHES + "select component as component_id, count(distinct region_id) as n_regions, count(distinct tree_id) as n_files from comp join regions r on r.region_id = node group by component",
+    "p3_found": f"""
+with recursive s as (select region_id, content, count(*) over (partition by region_id) as n from {_SETS}),
+i as (select a.region_id as u, b.region_id as v, count(*) as i, any_value(a.n) as na, any_value(b.n) as nb from s a join s b on a.content = b.content and a.region_id < b.region_id where a.n >= 8 and b.n >= 8 group by 1, 2),
+r as (select distinct region_id, path, start_line, end_line from regions),
+link as (select u, v from i left join r x on x.region_id = u left join r y on y.region_id = v where i >= 0.7 * (na + nb - i) - 1e-9
+  and not coalesce(x.path = y.path and x.start_line <= y.end_line and y.start_line <= x.end_line, false)),
+{_COMPONENTS}
+select node as region_id, component as group_id from comp""",
+    "p4_found": f"select content, mark from ({_MARKED}) where mark is not null",
+    "p4_frequencies": _MARKED,
+    "p6_found": f"with {_OVERLAP} select list_id, region_id from p where i >= 0.5 * (nl + ns - i)",
+    "p6_pairs": f"with {_OVERLAP} select list_id, region_id, round(i / (nl + ns - i), 6) as similarity from p where i >= 0.5 * (nl + ns - i)",
+    "p8_found": """
+with d as (select doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) as w from documents),
+e as (select item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) as w from eval_items),
+dg as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) as g from d),
+eg as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) as g from e)
+select distinct doc_id, item_id from dg join eg using (g)""",
+}
