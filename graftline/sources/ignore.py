@@ -62,7 +62,7 @@ def matches(pattern: str, rel: Column, is_dir: bool = False) -> Column:
 def double_star(pattern: str, rel: Column) -> Column:
     before, after = (x.strip("/") for x in pattern.split("**", 1))
     if not before and not after:
-        return F.lit(True)
+        return rel.isNotNull()
     if not before:
         return rel.rlike(glob_regex("*" + after)) | name_of(rel).rlike(glob_regex(after))
     if not after:
