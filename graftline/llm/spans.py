@@ -99,6 +99,7 @@ def shared_share(files: DataFrame, regions: DataFrame, runs: DataFrame) -> tuple
     share = F.round(F.coalesce(F.col("shared_lines") / F.col("n_lines"), F.lit(0.0)), 6).alias("share")
     by_file = n.join(per, "file_id", "left").select("file_id", "n_lines", shared, share)
     r = regions.select("region_id", F.col("tree_id").alias("file_id"), F.col("start_line").alias("rs"), F.col("end_line").alias("re")).distinct()
-    over = F.greatest(F.lit(0), F.least("re", "end_line") - F.greatest("rs", "start_line") + 1)
-    hit = r.join(runs, "file_id", "left").groupBy("region_id", (F.col("re") - F.col("rs") + 1).alias("n_lines")).agg(F.sum(F.coalesce(over, F.lit(0))).alias("shared_lines"))
+    #: least and greatest pass over nulls, so a file without runs is told by its null start
+    over = F.when(F.col("start_line").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least("re", "end_line") - F.greatest("rs", "start_line") + 1))
+    hit = r.join(runs, "file_id", "left").groupBy("region_id", (F.col("re") - F.col("rs") + 1).alias("n_lines")).agg(F.sum(over).alias("shared_lines"))
     return by_file, hit.select("region_id", "n_lines", "shared_lines", F.round(F.col("shared_lines") / F.col("n_lines"), 6).alias("share"))
