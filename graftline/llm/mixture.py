@@ -25,6 +25,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEED = 11
+#: Target rows at most, which bounds what is broadcast.
+TARGETS = 10_000
 _loaded: dict = {}
 
 
@@ -107,6 +109,8 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     d = documents.select("doc_id", clean_source().alias("source"), "text").filter("source is not null and text is not null")
     sized = cut(with_tokens(d, tokenizer).filter("n_tokens > 0"))
     wanted = targets.select("mix_name", clean_source().alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)), F.coalesce("max_repeats", F.lit(0))).distinct().collect()
+    if len(wanted) > TARGETS:
+        raise ValueError(f"more than {TARGETS} target rows cannot be broadcast")
     sizes = sized.join(F.broadcast(targets.select(clean_source().alias("source")).distinct()), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens")).collect()
     spark = documents.sparkSession
     rows = spark.createDataFrame(plan([tuple(r) for r in sizes], [tuple(r) for r in wanted]), "mix_name string, source string, target_share double, max_repeats int, rate double, cdf array<double>")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graftline.llm.components import connected_components
 from graftline.llm.sketch import band_rows
-from graftline.runtime import cut, latest, spread
+from graftline.runtime import cut, latest, skew_join, spread
 
 #: 60 bands of 6 rows miss a pair of Jaccard similarity 0.7 in 0.06 % of cases, one of
 #: 0.75 in 0.0008 %, and meet a pair of 0.15 in 0.07 %.
@@ -66,8 +66,8 @@ def near_class_pairs(cls: DataFrame, threshold: float = THRESHOLD, bands: int =
     but those whose ends a chain of strong pairs already joins."""
     buckets = spread(cls.select("cls", "tokens")).mapInArrow(band_rows(["cls"], bands, rows), "cls long, bucket long")
     buckets = cut(buckets)
-    least = buckets.groupBy("bucket").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = buckets.join(least, "bucket")
+    least = buckets.groupBy("bucket").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = skew_join(buckets, least, ["bucket"])
     stars = met.filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     first = cut(verify(stars, cls, threshold))
     comp = connected_components(first.filter("strong"), "a", "b").withColumnRenamed("node", "cls")

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from graftline.runtime import cut
 
-#: Lengths on either side that a hazard is compared with, and the false-discovery rate.
-NEIGHBOURS, FDR = 60, 0.001
+#: Lengths on either side that a hazard is compared with, widely and closely, and the
+#: false-discovery rate.
+NEIGHBOURS, CLOSE, FDR = 60, 5, 0.001
 #: Words after which a line goes on.
 OPEN_WORDS = "a an and as at because but by de der die du el for from if into its la le les los of or our su than the their un una und une when which while who with y your".split()
 CLOSINGS = r"(many thanks|thanks( (in advance|again|a lot))?|thank you|thx|ta|cheers|hth|hope (this|that) helps|regards|best|(best|kind|warm) (regards|wishes)|sincerely|merci|danke|gracias|saludos|gruß|vg|mfg|br)"
 SIGN_OFF = rf"(?i)^\W*{CLOSINGS}\b[^.!?]{{0,60}}$"
 SIGN_WORD = rf"(?i)^\W*{CLOSINGS}\W*$"
-MARK = r"(?i)(\[\s*(\.{2,}|…|more|cut|snip|truncated|continued)\s*\]|\(\s*(more|cut|truncated|continued)\s*\)|<(cut|truncated)>|read more\W*)$"
+MARK = r"(?i)(\[\s*(\.{2,}|…|more|cut|snip|truncated|continued)\s*\]|\(\s*(more|cut|truncated|continued)\s*\)|<(cut|truncated)>|read more\W*|�)$"
 
 
 def clean_source(c: str = "source") -> Column:
@@ -33,16 +34,20 @@ def clean_source(c: str = "source") -> Column:
 def length_hazards(lengths: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``(source, n, ends, at_risk, hazard, expected, p)`` from rows ``(source, n)``.
 
-    ``expected`` is the number of ends at this length under the neighbours' hazard;
+    ``expected`` is the number of ends at this length under the neighbours' hazard, the
+    close or the wide ones', whichever is greater: a limit is one length, while a kind of
+    text of about one size raises the hazards of many lengths;
     ``p`` is the Chernoff bound of the Poisson upper tail, so never too small."""
     c = lengths.groupBy("source", "n").agg(F.count(F.lit(1)).alias("ends"))
     risk = Window.partitionBy("source").orderBy(F.col("n").desc())
     c = c.withColumn("at_risk", F.sum("ends").over(risk))
-    near = Window.partitionBy("source").orderBy("n").rangeBetween(-neighbours, neighbours)
-    others = F.sum("ends").over(near) - F.col("ends")
-    #: each neighbouring length had about as many texts at risk as this one
-    span = F.least(F.lit(2 * neighbours), F.col("n") + neighbours)
-    mu = (others + 1) / span
+
+    def around(width: int) -> Column:
+        """Mean ends at the neighbouring lengths, which had about as many texts at risk."""
+        near = Window.partitionBy("source").orderBy("n").rangeBetween(-width, width)
+        return (F.sum("ends").over(near) - F.col("ends") + 1) / F.least(F.lit(2 * width), F.col("n") + width)
+
+    mu = F.greatest(around(neighbours), around(CLOSE))
     ratio = F.col("ends") / mu
     p = F.when(ratio <= 1, 1.0).otherwise(F.exp(-(F.col("ends") * F.log(ratio) - F.col("ends") + mu)))
     return c.withColumn("hazard", F.col("ends") / F.col("at_risk")).withColumn("expected", mu).withColumn("p", p)
@@ -76,7 +81,7 @@ def endings(documents: DataFrame) -> DataFrame:
     opens = lambda a, b: F.length(F.regexp_replace(line, f"[^{a}]", "")) > F.length(F.regexp_replace(line, f"[^{b}]", ""))
     unbalanced = opens(r"\[", r"\]") | opens("(", ")") | (code & opens(r"\{", r"\}"))
     return d.select(
-        "doc_id", "source", "n",
+        "doc_id", "source", "n", F.octet_length("t").alias("n_bytes"),
         (fence | block).alias("inside"),
         line.rlike(MARK).alias("mark"),
         line.rlike(r"(\.{3}|…)$").alias("dots"),
@@ -99,31 +104,38 @@ def endings(documents: DataFrame) -> DataFrame:
 
 def known_words(documents: DataFrame, at_limit: DataFrame, least: int = 3, share: float = 0.001) -> DataFrame:
     """Lower-case words that at least ``least`` texts hold before their end, or that end
-    at least a ``share`` of the texts (and ``least`` of them) whose length is no limit.
-    ``at_limit`` is (source, n) with a column of that name."""
+    at least a ``share`` of the texts (and ``least`` of them) whose length is no limit or
+    that are short answers. ``at_limit`` is (source, n) with a column of that name."""
     d = documents.filter("text is not null").select(F.coalesce(clean_source(), F.lit("")).alias("source"), F.length("text").alias("n"), "text")
     lower = F.col("word").rlike(r"^\p{Ll}+$")
     inner = d.select(F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"\S+\s*\z", ""), r"[^\p{L}\p{N}]+"))).alias("word")).filter(lower)
     inner = inner.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least).select("word")
-    last = d.join(at_limit, ["source", "n"], "left_anti").select(F.regexp_extract("text", r"(\p{Ll}+)\W*\z", 1).alias("word")).filter(lower)
+    brief = F.size(F.split(F.trim("text"), r"\s+")) <= 6
+    last = d.join(at_limit, ["source", "n"], "left").filter(F.col("at_limit").isNull() | brief).select(F.regexp_extract("text", r"(\p{Ll}+)\W*\z", 1).alias("word")).filter(lower)
     floor = max(least, int(share * documents.count()))
     last = last.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= floor).select("word")
     return inner.unionByName(last).distinct().withColumn("known", F.lit(True))
 
 
 def judged(documents: DataFrame, neighbours: int = NEIGHBOURS, fdr: float = FDR) -> DataFrame:
-    """``(doc_id, source, n, at_limit, truncated)`` for every text with visible characters.
+    """``(doc_id, source, n, at_limit, truncated)`` for every text with visible characters;
+    limits are looked for in characters and in bytes.
 
     Null and blank texts are not judged. A null source takes part under its own name and
     also counts as at a limit where any source has one. Equal texts are judged alike; a
     doc_id in several rows is judged per row."""
     e = endings(documents)
     src = F.coalesce("source", F.lit(""))
-    sig = significant_lengths(length_hazards(documents.select(F.coalesce(clean_source(), F.lit("")).alias("source"), F.length("text").alias("n")).filter("n > 0"), neighbours), fdr)
-    sig = cut(sig)
-    hit = sig.unionByName(sig.select(F.lit("").alias("source"), "n")).distinct().withColumn("at_limit", F.lit(True))
-    #: lengths that stand out are few: at most 1 / fdr' of the lengths of each source
-    e = e.withColumn("source", src).join(hit, ["source", "n"], "left").join(known_words(documents, hit), "word", "left")
+    #: fields are limited in characters or in bytes
+    unit = F.explode(F.array(F.struct(F.lit("characters").alias("unit"), F.length("text").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n"))))
+    both = documents.select(F.coalesce(clean_source(), F.lit("")).alias("source"), unit.alias("u")).select(F.concat("source", F.lit("\0"), "u.unit").alias("source"), "u.n").filter("n > 0")
+    sig = cut(significant_lengths(length_hazards(both, neighbours), fdr))
+    sig = sig.select(F.substring_index("source", "\0", 1).alias("source"), F.substring_index("source", "\0", -1).alias("unit"), "n")
+    sig = sig.unionByName(sig.withColumn("source", F.lit(""))).distinct().withColumn("at_limit", F.lit(True))
+    chars = sig.filter("unit = 'characters'").drop("unit")
+    octets = sig.filter("unit = 'bytes'").select("source", F.col("n").alias("n_bytes"), F.col("at_limit").alias("at_bytes"))
+    e = e.withColumn("source", src).join(chars, ["source", "n"], "left").join(octets, ["source", "n_bytes"], "left").join(known_words(documents, chars), "word", "left")
+    e = e.withColumn("at_limit", F.col("at_limit").isNotNull() | F.col("at_bytes").isNotNull())
     at = F.coalesce("at_limit", F.lit(False))
     unknown = (F.col("word") != "") & F.col("known").isNull() & ~(F.col("single") & F.col("tiny")) & ~F.col("sign_word")
     whole = F.col("link") | F.col("item") | F.col("sign") | (F.col("short") & F.col("low") & ~F.col("code")) | (F.col("single") & F.col("tiny")) | F.col("code_done")
