@@ -12,9 +12,13 @@ from graftline.operators.rules import Action, Rule
 
 
 def with_parents(nodes: DataFrame) -> DataFrame:
-    """Nodes with parent_kind and grandparent_kind, by joins on (tree_id, parent_seq)."""
-    up = nodes.select("tree_id", F.col("seq").alias("parent_seq"), F.col("kind").alias("parent_kind"), F.col("parent_seq").alias("_g"))
-    top = nodes.select("tree_id", F.col("seq").alias("_g"), F.col("kind").alias("grandparent_kind"))
+    """Nodes with parent_kind and grandparent_kind, by joins on (tree_id, parent_seq); nodes
+    that come with them stay as they are. Only nodes with children can be parents."""
+    if "parent_kind" in nodes.columns:
+        return nodes
+    holders = nodes.filter("n_children > 0")
+    up = holders.select("tree_id", F.col("seq").alias("parent_seq"), F.col("kind").alias("parent_kind"), F.col("parent_seq").alias("_g"))
+    top = holders.select("tree_id", F.col("seq").alias("_g"), F.col("kind").alias("grandparent_kind"))
     return nodes.join(up, ["tree_id", "parent_seq"], "left").join(top, ["tree_id", "_g"], "left").drop("_g")
 
 
@@ -76,9 +80,13 @@ def numbered_names(nodes: DataFrame, key: str = "region_id") -> DataFrame:
 
 
 def normalised(nodes: DataFrame, rules: list[Rule], key: str = "region_id") -> DataFrame:
-    """Surviving nodes with their representation ``rep``."""
+    """Surviving nodes with their representation ``rep``. Rulesets that remove nothing or
+    number nothing skip the window or the join for it."""
+    acts = {r.action for r in rules}
     n = nodes.withColumns(compile_rules(rules))
-    n = numbered_names(without_removed(n, key), key)
+    if Action.REMOVE in acts:
+        n = without_removed(n, key)
+    n = numbered_names(n, key) if Action.ANONYMIZE in acts else n.withColumn("number", F.lit(None).cast("int"))
     own = F.when(F.col("n_children") == 0, leaf_value("text"))
     value = F.when(F.col("numbered"), F.concat(F.col("anon"), F.lit("_"), F.col("number").cast("string"))).otherwise(F.coalesce("new_value", own))
     return n.withColumn("rep", render(F.coalesce("new_name", "kind"), value))
@@ -91,7 +99,7 @@ def path_kgrams(nodes: DataFrame, k: int = 3, key: str = "region_id") -> DataFra
     if k < 1:
         raise ValueError("k must be at least 1")
     cur = nodes.select(key, "seq", "start_line", "end_line", F.col("parent_seq").alias("_up"), F.col("rep").alias("content"))
-    step = nodes.select(key, F.col("seq").alias("_up"), F.col("parent_seq").alias("_next"), F.col("rep").alias("_rep"))
+    step = nodes.filter("n_children > 0").select(key, F.col("seq").alias("_up"), F.col("parent_seq").alias("_next"), F.col("rep").alias("_rep"))
     for _ in range(k - 1):
         cur = cur.join(step, [key, "_up"]).withColumn("content", F.concat_ws(ARROW, "_rep", "content")).drop("_up", "_rep").withColumnRenamed("_next", "_up")
     return cur.select(key, "seq", "content", "start_line", "end_line")

@@ -94,30 +94,33 @@ def parsed(nodes: DataFrame) -> DataFrame:
 
 def text_nodes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``nodes`` of plain texts, by built-in functions only: document, paragraphs (runs of
-    lines that are not blank), lines and words. Offsets are not filled."""
+    lines that are not blank), lines and words, with the kinds of the two nodes above each.
+    Offsets are not filled; a null text has no tree, a blank one only its root.
+
+    Windows run over lines, and words are exploded behind them: a word's place is its
+    line's place and its own number there."""
     d = documents.select(F.col(key).alias("tree_id"), F.split(text, "\n", -1).alias("ls")).filter("ls is not null")
     line = d.select("tree_id", F.posexplode("ls").alias("i", "text")).withColumn("blank", ~F.col("text").rlike(r"\S"))
     w = Window.partitionBy("tree_id").orderBy("i")
-    line = line.withColumn("first", ~F.col("blank") & F.coalesce(F.lag("blank").over(w), F.lit(True)))
-    line = line.filter("not blank")
-    part = F.array(
-        F.struct(F.lit(1).alias("lv"), F.lit(0).alias("wd"), F.lit("paragraph").alias("kind"), F.lit("").alias("t")),
-        F.struct(F.lit(2).alias("lv"), F.lit(0).alias("wd"), F.lit("line").alias("kind"), F.col("text").alias("t")),
-    )
-    words = F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), 0), lambda x, j: F.struct(F.lit(3).alias("lv"), (j + 1).alias("wd"), F.lit("word").alias("kind"), x.alias("t")))
-    own = F.when(F.col("first"), part).otherwise(F.slice(part, 2, 1))
-    n = line.select("tree_id", "i", F.explode(F.concat(own, words)).alias("x")).select("tree_id", "i", "x.*")
-    root = d.select("tree_id", F.lit(-1).alias("i"), F.lit(0).alias("lv"), F.lit(0).alias("wd"), F.lit("document").alias("kind"), F.lit("").alias("t"))
-    o = Window.partitionBy("tree_id").orderBy("i", "lv", "wd")
-    whole = Window.partitionBy("tree_id")
-    n = n.unionByName(root).withColumn("seq", F.row_number().over(o) - 1)
-    back = o.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = o.rowsBetween(1, Window.unboundedFollowing)
-    lv = lambda k: F.when(F.col("lv") == k, F.col("seq"))
-    parent = F.when(F.col("lv") == 1, F.lit(0)).when(F.col("lv") == 2, F.last(lv(1), True).over(back)).when(F.col("lv") == 3, F.last(lv(2), True).over(back))
-    stop = F.when(F.col("lv") == 0, F.max("seq").over(whole) + 1).when(F.col("lv") == 3, F.col("seq") + 1).when(F.col("lv") == 2, F.min(F.when(F.col("lv") < 3, F.col("seq"))).over(ahead)).otherwise(F.min(lv(1)).over(ahead))
-    n = n.withColumn("parent_seq", parent.cast("int")).withColumn("end_seq", (F.coalesce(stop, F.max("seq").over(whole) + 1) - 1).cast("int"))
-    n = n.withColumn("last_i", F.when(F.col("lv") == 0, F.max("i").over(whole)).when(F.col("lv") == 1, F.lit(None)).otherwise(F.col("i")))
-    kids = n.filter("parent_seq is not null").groupBy("tree_id", F.col("parent_seq").alias("seq")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("i").alias("mi"))
-    n = n.join(kids, ["tree_id", "seq"], "left")
-    return n.select("tree_id", F.col("seq").cast("int").alias("seq"), "parent_seq", "end_seq", (F.col("lv") + 1).alias("depth"), "kind", F.lit(None).cast("string").alias("field"), F.coalesce("n", F.lit(0)).alias("n_children"), F.col("t").alias("text"), F.greatest(F.col("i") + 1, F.lit(1)).alias("start_line"), F.greatest(F.coalesce("last_i", "mi", "i") + 1, F.lit(1)).alias("end_line"), F.lit(None).cast("int").alias("start_byte"), F.lit(None).cast("int").alias("end_byte"))
+    first = (~F.col("blank") & F.coalesce(F.lag("blank").over(w), F.lit(True))).cast("int")
+    line = line.withColumn("first", first).filter("not blank").withColumn("ws", F.regexp_extract_all("text", F.lit(r"\S+"), 0))
+    line = line.withColumn("size", F.size("ws") + 1 + F.col("first"))
+    line = line.withColumn("at", F.sum("size").over(w) - F.col("size") + 1 + F.col("first"))
+    line = line.withColumn("para", F.max(F.when(F.col("first") == 1, F.col("at") - 1)).over(w))
+    p = Window.partitionBy("tree_id", "para")
+    line = line.withColumns({"p_end": F.max(F.col("at") + F.size("ws")).over(p), "p_kids": F.count(F.lit(1)).over(p), "p_last": F.max("i").over(p)})
+    node = lambda kind, seq, up, end, kids, t, last, k1, k2, depth: F.struct(
+        seq.cast("int").alias("seq"), up.cast("int").alias("parent_seq"), end.cast("int").alias("end_seq"), F.lit(depth).alias("depth"), F.lit(kind).alias("kind"), kids.cast("int").alias("n_children"), t.alias("text"),
+        (F.col("i") + 1).alias("start_line"), (last + 1).alias("end_line"), F.lit(k1).cast("string").alias("parent_kind"), F.lit(k2).cast("string").alias("grandparent_kind"))
+    i, at, n = F.col("i"), F.col("at"), F.size("ws")
+    para = F.array(node("paragraph", F.col("para"), F.lit(0), F.col("p_end"), F.col("p_kids"), F.lit(""), F.col("p_last"), "document", None, 2))
+    own = F.array(node("line", at, F.col("para"), at + n, n, F.col("text"), i, "paragraph", "document", 3))
+    words = F.transform("ws", lambda x, j: node("word", at + j + 1, at, at + j + 1, F.lit(0), x, i, "line", "paragraph", 4))
+    below = line.select("tree_id", F.explode(F.concat(F.when(F.col("first") == 1, para).otherwise(F.slice(para, 1, 0)), own, words)).alias("x")).select("tree_id", "x.*")
+    whole = line.groupBy("tree_id").agg(F.max(at + n).alias("e"), F.sum("first").alias("k"), F.max("i").alias("last"))
+    root = d.select("tree_id").join(whole, "tree_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
+    none = F.lit(None).cast("string")
+    root = root.select("tree_id", F.lit(0).alias("seq"), F.lit(None).cast("int").alias("parent_seq"), zero("e").alias("end_seq"), F.lit(1).alias("depth"), F.lit("document").alias("kind"), zero("k").alias("n_children"), F.lit("").alias("text"), F.lit(1).alias("start_line"), (zero("last") + 1).alias("end_line"), none.alias("parent_kind"), none.alias("grandparent_kind"))
+    out = root.unionByName(below)
+    return out.select("tree_id", "seq", "parent_seq", "end_seq", "depth", "kind", none.alias("field"), "n_children", "text", "start_line", "end_line", F.lit(None).cast("int").alias("start_byte"), F.lit(None).cast("int").alias("end_byte"), "parent_kind", "grandparent_kind")
