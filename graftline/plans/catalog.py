@@ -104,7 +104,7 @@ def s10_parse_path(spark: SparkSession, d: str) -> DataFrame:
     return f.join(n, "file_id").select("rel_path", "language", "n_nodes")
 
 
-@query("select count(distinct doc_id) as n_documents, sum(length(text)) as n_chars from documents")
+@query("select count(distinct doc_id) as n_documents, sum(length(text))::bigint as n_chars from documents")
 def s13_table_source(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").agg(F.count_distinct("doc_id").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
 
