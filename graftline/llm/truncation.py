@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graftline.runtime import cut
+from graftline.runtime import cut, spread
 
 #: Lengths on either side that a hazard is compared with, widely and closely, and the
 #: false-discovery rate.
@@ -124,7 +124,7 @@ def judged(documents: DataFrame, neighbours: int = NEIGHBOURS, fdr: float = FDR)
     Null and blank texts are not judged. A null source takes part under its own name and
     also counts as at a limit where any source has one. Equal texts are judged alike; a
     doc_id in several rows is judged per row."""
-    e = endings(documents)
+    e = endings(spread(documents.select("doc_id", "source", "text")))
     src = F.coalesce("source", F.lit(""))
     #: fields are limited in characters or in bytes
     unit = F.explode(F.array(F.struct(F.lit("characters").alias("unit"), F.length("text").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n"))))
