@@ -36,6 +36,17 @@ def test_reasons(spark):
     assert handwritten.judged(spark.createDataFrame([], FILES), conf).count() == 0
 
 
+def test_one_long_literal_is_a_blob(spark):
+    octets = b"table = b'" + b"".join(b"\\x%02x" % (i * 37 % 256) for i in range(600)) + b"'\n"
+    base64 = b'export const font = "' + b"d09GMgABAAAAAB" * 150 + b'";\n'
+    notes = b'"""Adds one.\n\n' + b"Every caller passes a number and gets the next one.\n" * 30 + b'"""\n' + HAND
+    cases = {1: ("a.py", octets, "data blob"), 2: ("a.ts", base64, "data blob"), 3: ("b.py", notes, None), 4: ("c.py", b"X = b'ab'\n", None)}
+    rows = [(i, "q", f"/s/q/{p}", s, T, "junk") for i, (p, s, _) in cases.items()]
+    conf = spark.createDataFrame([], "name string, ignore_dirs array<string>, cluster int")
+    got = {x["file_id"]: x["reason"] for x in handwritten.judged(spark.createDataFrame(rows, FILES), conf).collect()}
+    assert got == {i: why for i, (_, _, why) in cases.items()}
+
+
 def test_masked_clusters_join_renamed_files(spark):
     a = b"".join(b"def f%d(x):\n    y = g(x, %d)\n    return y\n" % (i, i) for i in range(6))
     b = a.replace(b"y", b"zed").replace(b"g(", b"other(")
