@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftline.functions.expressions import jaccard_estimate, lines, overlaps
@@ -75,12 +75,62 @@ def with_places(pairs: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("overlapping", overlaps("path_a", "start_line_a", "end_line_a", "path_b", "start_line_b", "end_line_b"))
 
 
+def verified(signatures: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, estimate) of representatives whose estimate reaches the pair threshold."""
+    return estimated(candidates(signatures, settings.lsh_threshold), signatures).filter(F.col("estimate") >= settings.pair_threshold)
+
+
 def edges(signatures: DataFrame, regions: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b, estimate) of similar regions that do not overlap. Copies link to their
-    representative; representatives link by verified candidate pairs."""
-    found = estimated(candidates(signatures, settings.lsh_threshold), signatures).filter(F.col("estimate") >= settings.pair_threshold)
+    """(a, b, estimate) of similar regions that do not overlap, over representatives:
+    copies link to their representative, representatives by verified candidate pairs.
+    ``links`` adds what other members of the classes join."""
     same = classes(signatures).filter("region_id <> rep").select(F.col("rep").alias("a"), F.col("region_id").alias("b"), F.lit(1.0).alias("estimate"))
-    return with_places(found.unionByName(same), regions).filter(~F.col("overlapping")).select("a", "b", "estimate")
+    return with_places(verified(signatures, settings).unionByName(same), regions).filter(~F.col("overlapping")).select("a", "b", "estimate")
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Two places that share no line; an unknown place is apart from none."""
+    return F.coalesce((x["path"] != y["path"]) | (x["start_line"] > y["end_line"]) | (y["start_line"] > x["end_line"]), F.lit(False))
+
+
+def _linked(x: Column, ys: Column) -> Column:
+    """Pairs (a, b), a < b, of a place with those places that are apart from it."""
+    pair = lambda y: F.struct(F.least(x["region_id"], y["region_id"]).alias("a"), F.greatest(x["region_id"], y["region_id"]).alias("b"))
+    return F.transform(F.filter(ys, lambda y: _apart(x, y)), pair)
+
+
+def links(signatures: DataFrame, regions: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, estimate) of similar regions that do not overlap, with the components of all
+    such pairs: ``edges``, and what the overlap of a representative would hide.
+
+    Three anchors stand for a class: of one path, the member that ends first and the one
+    that starts last, and a member of another path. A region that is apart from any member
+    is apart from an anchor, and anchors that are apart belong together with all members
+    but the loose ones: those of a class within one path that overlap every other member."""
+    m = classes(signatures).join(regions.select("region_id", F.struct("region_id", "path", "start_line", "end_line").alias("at")), "region_id").filter("at.path is not null")
+    order = lambda c: F.struct(F.col(f"at.{c}").isNull(), F.col(f"at.{c}"), F.col("region_id"))
+    by_path = m.groupBy("rep", F.col("at.path").alias("path")).agg(
+        F.min_by("at", order("end_line")).alias("first"), F.max_by("at", F.struct("at.start_line", "region_id")).alias("last"),
+        F.max(F.when(F.col("region_id") == F.col("rep"), F.col("at"))).alias("own"), F.count(F.lit(1)).alias("n"))
+    ends = F.struct("path", "first", "last")
+    cls = by_path.groupBy("rep").agg(F.min(ends).alias("x"), F.max(ends).alias("y"), F.max("own").alias("own"), F.sum("n").alias("n"))
+    cls = cls.select("rep", F.array_distinct(F.array("x.first", "x.last", "y.first")).alias("anchors"), "own", ((F.col("x.path") == F.col("y.path")) & (F.col("n") > 1)).alias("within"))
+
+    near = lambda x, ys: F.exists(ys, lambda y: _apart(x, y))
+    single = m.join(cls.filter("within").select("rep", "anchors"), "rep").filter(~near(F.col("at"), F.col("anchors")))
+    pieces = cls.join(single.groupBy("rep").agg(F.collect_set("at").alias("loose")), "rep", "left")
+    pieces = pieces.select("rep", "anchors", "own", F.array_union("anchors", F.coalesce("loose", F.array().cast(pieces.schema["anchors"].dataType))).alias("all"), F.col("loose").isNull().alias("whole"))
+
+    same = m.join(cls.select("rep", "anchors", "own"), "rep").filter("region_id <> rep")
+    same = same.select(F.explode(F.when(_apart(F.col("at"), F.col("own")), _linked(F.col("at"), F.array("own"))).otherwise(_linked(F.col("at"), F.col("anchors")))).alias("p"), F.lit(1.0).alias("estimate"))
+    side = lambda s: pieces.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("anchors", "own", "all", "whole")])
+    j = verified(signatures, settings).join(side("a"), "a").join(side("b"), "b")
+    c = F.col
+    every = F.flatten(F.array(F.flatten(F.transform("all_a", lambda x: _linked(x, c("anchors_b")))), F.flatten(F.transform("all_b", lambda x: _linked(x, c("anchors_a"))))))
+    own = _linked(c("own_a"), F.array("own_b"))
+    plain = _apart(c("own_a"), c("own_b")) & c("whole_a") & c("whole_b")
+    near_pairs = j.select(F.explode(F.when(plain, own).otherwise(F.array_distinct(F.concat(F.when(_apart(c("own_a"), c("own_b")), own).otherwise(F.slice(every, 1, 0)), every)))).alias("p"), "estimate")
+    return same.distinct().unionByName(near_pairs).select("p.a", "p.b", "estimate")
 
 
 def groups(edge_table: DataFrame) -> DataFrame:
@@ -103,7 +153,7 @@ def group_means(members: DataFrame, signatures: DataFrame, num_perm: int = 128)
 
 def similar_groups(signatures: DataFrame, regions: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Groups whose mean estimate reaches 0.8 of the similarity, and their members."""
-    members = groups(edges(signatures, regions, settings))
+    members = groups(links(signatures, regions, settings))
     kept = group_means(members, signatures, settings.num_perm).filter((F.col("similarity") >= settings.pair_threshold) & (F.col("size") >= 2))
     return kept, members.join(kept.select("group_id"), "group_id", "left_semi").select("group_id", "region_id")
 

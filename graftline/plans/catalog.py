@@ -417,7 +417,7 @@ def l4_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_BAND} o as (select * from edge) select a, b, round(estimate, 6)::double as estimate from o")
 def l5_edges(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.edges(signature_table(spark, d), regions_table(spark, d), SETTINGS).select("a", "b", F.round("estimate", 6).alias("estimate"))
+    return lsh.links(signature_table(spark, d), regions_table(spark, d), SETTINGS).select("a", "b", F.round("estimate", 6).alias("estimate"))
 
 
 _COMP = """
@@ -430,7 +430,7 @@ comp as (select node as region_id, min(seen) as group_id from walk group by node
 @query(f"with recursive {_BAND} {_COMP} o as (select * from comp) select region_id, group_id from o")
 def l7_components(spark: SparkSession, d: str) -> DataFrame:
     """Regions and the group that pairs join them into."""
-    return lsh.groups(lsh.edges(signature_table(spark, d), regions_table(spark, d), SETTINGS))
+    return lsh.groups(lsh.links(signature_table(spark, d), regions_table(spark, d), SETTINGS))
 
 
 _MEAN = f"""
@@ -445,7 +445,7 @@ mean as (select group_id, size, agree / (size * (size - 1) / 2.0 * 128) as simil
 def l9_group_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean estimate over all member pairs of each group, found without forming pairs."""
     sig = signature_table(spark, d)
-    m = lsh.groups(lsh.edges(sig, regions_table(spark, d), SETTINGS))
+    m = lsh.groups(lsh.links(sig, regions_table(spark, d), SETTINGS))
     return lsh.group_means(m, sig).select("group_id", "size", F.round("similarity", 6).alias("similarity"))
 
 

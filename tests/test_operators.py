@@ -202,6 +202,35 @@ def test_group_mean_equals_all_pairs(spark):
         assert r["similarity"] == pytest.approx(want)
 
 
+def test_links_join_what_all_pairs_join(spark):
+    #: a1 in p, a2 in q; b1 nested in a1, b2 in r: only a2-b1 makes one group of the four
+    near = [1] * 120 + [2] * 8
+    cases = [[(1, "p", 1, 20, 1), (2, "q", 1, 20, 1), (3, "p", 5, 9, 2), (4, "r", 1, 9, 2)]]
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randrange(2, 8)
+        spots = [(rng.choice("pq" if rng.random() < 0.5 else "p"), s := rng.randrange(12), s + rng.randrange(10)) for _ in range(n)]
+        cases.append([(i + 1, *x, rng.randrange(1, 3)) for i, x in enumerate(spots)])
+    rows = [(k * 100 + i, f"{k}{p}", s, e, [k * 1000 + v for v in ([1] * 128 if t == 1 else near)]) for k, c in enumerate(cases) for i, p, s, e, t in c]
+    x = spark.createDataFrame([r[:4] for r in rows], "region_id long, path string, start_line int, end_line int")
+    s = spark.createDataFrame([(r[0], r[4]) for r in rows], "region_id long, sig array<long>")
+    found = [tuple(r)[:2] for r in lsh.links(s, x, Settings()).collect()]
+    place = {r[0]: r[1:4] for r in rows}
+    apart = lambda a, b: place[a][0] != place[b][0] or place[a][1] > place[b][2] or place[b][1] > place[a][2]
+    assert all(a < b and apart(a, b) for a, b in found) and len(found) == len(set(found))
+    pairs = [(a, b) for a in place for b in place if a < b and a // 100 == b // 100 and apart(a, b)]
+
+    def joined(edges):
+        root = {i: i for e in edges for i in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    got = joined(found)
+    assert got == joined(pairs) and got[1] == got[2] == got[3] == got[4] == 1
+
+
 def test_overlapping_regions_form_no_edge(spark):
     s = spark.createDataFrame([(i, [1] * 128) for i in (1, 2, 3)] + [(4, [])], "region_id long, sig array<long>")
     r = spark.createDataFrame([(1, "p", 1, 5), (2, "p", 4, 9), (3, "q", 1, 5), (4, "q", 7, 9)], "region_id long, path string, start_line int, end_line int")
