@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark.sparkContext.setLogLevel(args.log_level)
     if args.command == "inspect":
         f = sources.scan(spark, args.path)
-        nodes = sources.parsed(sources.parse_files(f)).join(f.select(F.col("file_id").alias("tree_id"), F.col("language").alias("shingle_language")), "tree_id")
+        nodes = sources.parsed(sources.parse_files(f, tolerant=True)).join(f.select(F.col("file_id").alias("tree_id"), F.col("language").alias("shingle_language")), "tree_id")
         view = inspect.transformed_source if args.source else inspect.tokens_by_line
         for row in view(nodes, ruleset(args.ruleset)).orderBy("tree_id", "line").toLocalIterator():
             print(f"{row[1]:5d}  {row[2]}")

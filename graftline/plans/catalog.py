@@ -74,7 +74,7 @@ def s2_read_bytes(spark: SparkSession, d: str) -> DataFrame:
 def s3_parse_source(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of every source file by kind and language."""
     f = sources.scan_table(read(spark, d, "source_files"))
-    n = sources.parsed(sources.parse_files(f)).join(f.select(F.col("file_id").alias("tree_id"), "language"), "tree_id")
+    n = sources.parsed(sources.parse_files(f, tolerant=True)).join(f.select(F.col("file_id").alias("tree_id"), "language"), "tree_id")
     return n.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
@@ -100,7 +100,7 @@ def s9_parse_errors(spark: SparkSession, d: str) -> DataFrame:
 def s10_parse_path(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of the example directory per file."""
     f = sources.scan(spark, EXAMPLES)
-    n = sources.parsed(sources.parse_files(f)).groupBy(F.col("tree_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    n = sources.parsed(sources.parse_files(f, tolerant=True)).groupBy(F.col("tree_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
     return f.join(n, "file_id").select("rel_path", "language", "n_nodes")
 
 
@@ -165,7 +165,7 @@ def r1_rule_lookup(spark: SparkSession, d: str) -> DataFrame:
 def _extracted(spark: SparkSession, d: str, name: str = "default") -> tuple[DataFrame, DataFrame, DataFrame, list]:
     f = sources.scan_table(read(spark, d, "source_files"))
     rs = rules.build_rules(name)
-    nodes = cut(sources.parsed(sources.parse_files(f)))
+    nodes = cut(sources.parsed(sources.parse_files(f, tolerant=True)))
     return f, nodes, regions.extract(nodes, f, rs), rs
 
 
@@ -199,7 +199,7 @@ def r5_text_regions(spark: SparkSession, d: str) -> DataFrame:
 def r6_injections(spark: SparkSession, d: str) -> DataFrame:
     """Fenced code of the documents, read as Markdown, by language, with its lines."""
     f = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("doc_id").cast("string").alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("source")).filter("source is not null")
-    nodes = cut(sources.parsed(sources.parse_files(f)))
+    nodes = cut(sources.parsed(sources.parse_files(f, tolerant=True)))
     found = regions.extract(nodes, f, rules.build_rules("none"))
     return regions.injections(found, nodes).select(F.col("path").cast("long").alias("doc_id"), "language", "line_offset", F.length("source").alias("n_chars"))
 
@@ -632,7 +632,7 @@ def t1_tokens_by_line(spark: SparkSession, d: str) -> DataFrame:
 def t2_transformed_source(spark: SparkSession, d: str) -> DataFrame:
     """Every source file's lines as the loose rules leave them."""
     f = sources.scan_table(read(spark, d, "source_files"))
-    nodes = sources.parsed(sources.parse_files(f)).join(f.select(F.col("file_id").alias("tree_id"), F.col("language").alias("shingle_language")), "tree_id")
+    nodes = sources.parsed(sources.parse_files(f, tolerant=True)).join(f.select(F.col("file_id").alias("tree_id"), F.col("language").alias("shingle_language")), "tree_id")
     return inspect.transformed_source(nodes, rules.build_rules("loose")).withColumnRenamed("tree_id", "file_id")
 
 

@@ -49,10 +49,10 @@ def detect_files(files: DataFrame, settings: Settings = Settings()) -> Detection
         return df
 
     rules = build_rules(settings.ruleset, settings.region_filters, settings.additional_regions, settings.excluded_regions)
-    nodes = stage("parse", sources.parsed(sources.parse_files(files)))
+    nodes = stage("parse", sources.parsed(sources.parse_files(files, tolerant=True)))
     found = stage("extract", regions.at_least(regions.extract(nodes, files, rules), settings.min_lines))
     inner = regions.injections(found, nodes)
-    trees = sources.parsed(sources.parse_files(inner.select(F.col("region_id").alias("file_id"), "language", "source", "line_offset")))
+    trees = sources.parsed(sources.parse_files(inner.select(F.col("region_id").alias("file_id"), "language", "source", "line_offset"), tolerant=True))
     if any(r.inject for r in rules):
         trees = cut(trees)
         found = cut(regions.with_injections(found, inner, trees))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -63,7 +64,7 @@ def scan_table(source_files: DataFrame) -> DataFrame:
     return f.select("file_id", "path", "rel_path", detect_language().alias("language"), "source").filter("language is not null")
 
 
-def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parser(batches: Iterator[pa.RecordBatch], tolerant: bool = False) -> Iterator[pa.RecordBatch]:
     from graftline.sources.frontends import parse
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
@@ -72,19 +73,20 @@ def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tree_id, lang, source, offset in zip(*(c.to_pylist() for c in b.columns)):
             try:
                 text = (source or b"").decode("utf-8", "ignore").lstrip("﻿").replace("\r\n", "\n")
-                got = [(*r, None) for r in rows(parse(text, lang), text, tree_id, offset or 0)]
+                got = [(*r, None) for r in rows(parse(text, lang, tolerant), text, tree_id, offset or 0)]
             except (ValueError, SyntaxError, RecursionError) as e:
                 got = [(tree_id, *[None] * (len(NODE_COLUMNS) - 1), f"{type(e).__name__}: {e}")]
             cols = list(zip(*got))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, tolerant: bool = False) -> DataFrame:
     """``nodes`` of files ``(file_id, language, source[, line_offset])``, with one row that
-    has just ``parse_error`` for each file that does not parse."""
+    has just ``parse_error`` for each file that does not parse. A ``tolerant`` parse keeps
+    the tree of a file with syntax errors and marks them by nodes of kind ``ERROR``."""
     offset = F.col("line_offset") if "line_offset" in files.columns else F.lit(0)
     f = files.select("file_id", "language", F.col("source").cast("binary").alias("source"), offset.cast("int").alias("line_offset"))
-    return spread(f).mapInArrow(_parser, NODE_SCHEMA + ", parse_error string")
+    return spread(f).mapInArrow(partial(_parser, tolerant=tolerant), NODE_SCHEMA + ", parse_error string")
 
 
 def parsed(nodes: DataFrame) -> DataFrame:

@@ -101,6 +101,119 @@ def parse_python(source: str) -> Node:
     return root
 
 
+#: Tokens of a source that the grammar may not take, and words that begin a
+#: statement and stand in no expression, so that they end one whose bracket is left open.
+_PY_LEX = re.compile(
+    r"(?P<STRING>[bBrRuUfFtT]{0,2}(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'))|(?P<COMMENT>\#[^\n]*)"
+    r"|(?P<NUMBER>\d[\w.]*)|(?P<NAME>[^\W\d]\w*)|(?P<NL>\n)|(?P<JOIN>\\\n)|(?P<OP>->|:=|\*\*|//|[-+*/%&|^<>=!]=|\S)", re.S)
+_PY_STARTS = frozenset("def class import return while try with raise pass del assert break continue global nonlocal".split())
+_PY_CLAUSES = frozenset("elif else except finally case".split())
+_PY_HEADS = {"def": "function_definition", "class": "class_definition", "for": "for_statement", "while": "while_statement", "if": "if_statement", "with": "with_statement", "try": "try_statement", "match": "match_statement"}
+_UNSOUND = (SyntaxError, ValueError, RecursionError, tokenize.TokenError)
+
+
+def parse_python_tolerant(source: str) -> Node:
+    """The tree of a source with errors. Statements that parse have the tree they have in
+    a sound file; of others the header is read by its words and the suite is gone through
+    in the same way, and what remains is an ``ERROR`` node over its tokens."""
+    source = source.replace("\0", " ")
+    try:
+        return parse_python(source)
+    except _UNSOUND:
+        pass
+    lines: list[list[Node]] = []
+    words: list[list[str]] = []
+    depth, fresh = 0, True
+    for m in _PY_LEX.finditer(source):
+        kind, s = m.lastgroup, m[0]
+        if kind == "JOIN":
+            continue
+        if kind == "NL":
+            fresh = fresh or not depth
+            continue
+        first = not source[source.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
+        if depth and first and (s in _PY_STARTS or re.match(r"async\s+def\b", source[m.start() : m.start() + 20])):
+            depth, fresh = 0, True
+        if fresh:
+            lines.append([])
+            words.append([])
+            fresh = False
+        lines[-1].append(_py_leaf(tokenize.TokenInfo(getattr(tokenize, kind), s, (0, 0), (0, 0), ""), m.start(), m.end()))
+        words[-1].append(s)
+        depth = max(0, depth + (s in ("(", "[", "{")) - (s in (")", "]", "}")))
+
+    def indent(i: int) -> int:
+        a = lines[i][0].start
+        return len(source[source.rfind("\n", 0, a) + 1 : a].expandtabs(8))
+
+    def sound(i: int, j: int, tail: str = "") -> list[Node] | None:
+        a = source.rfind("\n", 0, lines[i][0].start) + 1
+        head = "if 1:\n" if indent(i) else ""
+        try:
+            root = parse_python(head + source[a : lines[j - 1][-1].end] + tail)
+        except _UNSOUND:
+            return None
+        kids = root.kids
+        if head:
+            kids = next((k for k in root.kids[0].kids if k.kind == "block"), Node("block", 0, 0)).kids
+            kids += [k for k in [*root.kids[0].kids[2:], *root.kids[1:]] if k.kind == "comment"]
+        todo = list(kids)
+        while todo:
+            n = todo.pop()
+            n.start, n.end = n.start + a - len(head), n.end + a - len(head)
+            todo += n.kids
+        return sorted(kids, key=lambda k: k.start)
+
+    def suite(i: int, j: int) -> list[Node]:
+        out: list[Node] = []
+        while i < j:
+            comment, last = lines[i][0].kind == "comment", i
+            k = q = i + 1
+            while q < j and not comment:
+                if lines[q][0].kind != "comment":
+                    if not (indent(q) > indent(i) or (indent(q) == indent(i) and (words[q][0] in _PY_CLAUSES or (words[i][0] == "@" and words[last][0] == "@")))):
+                        break
+                    k, last = q + 1, q
+                q += 1
+            out += [lines[i][0]] if comment else (sound(i, k) or broken(i, k))
+            i = k
+        return out
+
+    def broken(i: int, j: int) -> list[Node]:
+        parts = [i, *[k for k in range(i + 1, j) if indent(k) <= indent(i) and lines[k][0].kind != "comment"], j]
+        out: list[Node] = []
+        for a, b in zip(parts, parts[1:]):
+            word = next((w for w in words[a] if w != "async"), "")
+            body = suite(a + 1, b)
+            node = None
+            if got := sound(a, a + 1, " pass") if word in _PY_HEADS and words[a][-1] == ":" and word not in ("try", "match") else None:
+                node = got[0]
+                node.kids = [k for k in node.kids if k.kind != "block"]
+            elif word in _PY_HEADS:
+                at = words[a].index(word) + 1
+                rest = lines[a][at:]
+                if word in ("def", "class") and rest and rest[0].kind == "identifier":
+                    rest[0].field = "name"
+                    at += 1
+                error = Node("ERROR", lines[a][at].start, lines[a][-1].end, lines[a][at:]) if lines[a][at:] else None
+                node = Node(_PY_HEADS[word], lines[a][0].start, lines[a][-1].end, [*lines[a][:at], *([error] if error else [])])
+            elif word in _PY_CLAUSES and out and b > a + 1:
+                out[-1].kids += lines[a]
+                node = out.pop()
+            else:
+                got = sound(a, a + 1)
+                out += got or [Node("ERROR", lines[a][0].start, lines[a][-1].end, lines[a])]
+                out += body
+                continue
+            if body:
+                node.kids.append(Node("block", body[0].start, body[-1].end, body, "alternative" if word in _PY_CLAUSES else "body"))
+            node.end = max(k.end for k in node.kids)
+            out.append(node)
+        return out
+
+    return Node("module", 0, len(source), suite(0, len(lines)))
+
+
 def _py_leaf(t: tokenize.TokenInfo, a: int, b: int) -> Node:
     s = t.string
     if t.type == tokenize.NAME:
@@ -578,10 +691,16 @@ def parse_markdown(source: str) -> Node:
     return root
 
 
-def parse(source: str, language: str) -> Node:
-    """The tree of a source; unknown languages and failing grammars raise."""
+def parse(source: str, language: str, tolerant: bool = False) -> Node:
+    """The tree of a source; unknown languages raise, and Python with syntax errors unless
+    the parse is ``tolerant``."""
     if language == "python":
-        return parse_python(source)
+        try:
+            return parse_python(source)
+        except SyntaxError:
+            if not tolerant:
+                raise
+            return parse_python_tolerant(source)
     if language == "html":
         return parse_html(source)
     if language == "astro":

@@ -72,6 +72,21 @@ def test_parse_errors_are_kept_apart(spark):
     assert sorted(r[0] for r in files.parsed(n).select("tree_id").distinct().collect()) == [2, 4]
 
 
+def test_python_with_errors_keeps_its_tree(spark):
+    good = "import os\n\n\n@cached\ndef f(a, b=1):\n    # adds\n    return a + b\n"
+    bad = good + "\n\nclass C:\n    def g(self):\n        x = = 1\n        return x\n\n    def h(self, (a)):\n        return 1\n\n\ny = (1,\ndef k():\n    return 2\n"
+    df = spark.createDataFrame([(1, "python", good.encode()), (2, "python", bad.encode()), (3, "python", b"def f(:\n"), (4, "python", b"a = 1\0\n")], "file_id long, language string, source binary")
+    n = files.parse_files(df, tolerant=True)
+    assert n.filter("parse_error is not null").count() == 0
+    got = {i: [(r["kind"], r["text"]) for r in n.filter(f"tree_id = {i}").orderBy("seq").collect()] for i in (1, 2, 3, 4)}
+    sound = len(got[1])
+    assert got[2][1:sound] == got[1][1:]
+    names = [(r["kind"], r["text"]) for r in n.filter("tree_id = 2 and field = 'name'").orderBy("seq").collect()]
+    assert names == [("identifier", x) for x in "fCghk"]
+    assert [t for k, t in got[2] if k == "ERROR"] == ["x = = 1", "(self, (a)):", "y = (1,"]
+    assert ("return_statement", "return x") in got[2] and got[3][0] == ("module", "def f(:\n") and "assignment" in dict(got[4])
+
+
 def test_python_tree_has_signature_leaves():
     got = kinds("def f(a, b=1):\n    return a + b\n", "python")
     assert [k for k, _ in got][:6] == ["module", "function_definition", "def", "identifier", "parameters", "("]
