@@ -40,7 +40,7 @@ def checked(files: DataFrame) -> DataFrame:
 
     Of a file's deliveries the latest counts. A null or empty source is valid. A file
     without a path, or with a suffix of no known language, has a null ``parsed_as`` and no
-    errors, as has one nested too deeply to be judged."""
+    errors. Nesting beyond the recursion limit is judged too (``syntax.errors``)."""
     f = latest(files.select("file_id", "path", "source", "ingested_at"), ["file_id"], "ingested_at")
     return spread(f.select("file_id", "path", "source")).mapInArrow(_check, SCHEMA)
 

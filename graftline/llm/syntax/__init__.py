@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import codecs
 import re
+import sys
+import threading
 from collections.abc import Callable
 
 from graftline.llm.syntax.base import Problem, SyntaxErrors
 
+#: Bytes of stack for a deep source, of which only those used take memory, and frames that
+#: one character can nest.
+STACK, FRAMES = 1 << 29, 64
 _CODING = re.compile(rb"^[ \t\f]*#.*?coding[:=][ \t]*([-\w.]+)")
 
 
@@ -61,6 +66,38 @@ def decoded(source: bytes, language: str) -> str:
 
 def errors(source: bytes, language: str) -> list[tuple[int, str]]:
     """All syntax errors ``(line, cause)`` of a source, in order; none if it is valid."""
+    try:
+        return _errors(source, language)
+    except RecursionError:
+        return _deep(source, language)
+
+
+def _deep(source: bytes, language: str) -> list[tuple[int, str]]:
+    """``errors`` of a source nested beyond the recursion limit: once more in a thread with
+    a large stack, under a limit that grows with the source, so that no depth exceeds it."""
+    got: list = []
+
+    def run() -> None:
+        try:
+            got.append(_errors(source, language))
+        except BaseException as e:  # noqa: BLE001
+            got.append(e)
+
+    limit, stack = sys.getrecursionlimit(), threading.stack_size(STACK)
+    try:
+        sys.setrecursionlimit(max(limit, FRAMES * len(source) + limit))
+        t = threading.Thread(target=run)
+        t.start()
+        t.join()
+    finally:
+        sys.setrecursionlimit(limit)
+        threading.stack_size(stack)
+    if isinstance(got[0], BaseException):
+        raise got[0]
+    return got[0]
+
+
+def _errors(source: bytes, language: str) -> list[tuple[int, str]]:
     try:
         text = decoded(source, language)
         _parsers()[language](text)
@@ -68,8 +105,6 @@ def errors(source: bytes, language: str) -> list[tuple[int, str]]:
         return e.found
     except Problem as e:
         return [(e.line, e.cause)]
-    except RecursionError:
-        return []
     return []
 
 

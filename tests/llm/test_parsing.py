@@ -93,3 +93,13 @@ def test_rates(spark):
     assert rates["r", "python"] == (2, 1, 0.5, 10, 8) and rates["q", "javascript"] == (2, 0, 0.0, None, None)
     assert {r["language"]: r["rate"] for r in parsing.acceptance(df).collect()}["javascript"] == 1.0
     assert parsing.checked(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("language, deep", [("python", "x = %s1%s"), ("javascript", "x = %s1%s;"), ("typescript", "x = %s1%s;"), ("go", "package p\nvar x = %s1%s"), ("java", "class A { int x = %s1%s; }"), ("rust", "fn f() { let x = %s1%s; }")])
+def test_deep_nesting_is_judged(language, deep):
+    source = deep % ("(" * 3000, ")" * 3000) + "\n"
+    limit = sys.getrecursionlimit()
+    assert syntax.errors(source.encode(), language) == []
+    assert syntax.errors((source.replace("1", "1 1 +", 1)).encode(), language)
+    assert syntax.errors((source + "\n)\n").encode(), language)
+    assert sys.getrecursionlimit() == limit
