@@ -638,6 +638,8 @@ def t2_transformed_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with recursive e as (select distinct regions[1] as a, regions[2] as b from similar_groups where len(regions) = 2 and regions[1] <> regions[2] and similarity between 0.95 and 1), und as (select a as x, b as y from e union select b, a from e), walk as (select x as node, x as seen from und union select w.node, u.y from walk w join und u on u.x = w.seen) select node, min(seen) as component from walk group by node")
 def l7_union_find(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the nearly equal pairs that earlier runs matched."""
-    g = read(spark, d, "similar_groups").filter("size(regions) = 2 and similarity between 0.95 and 1")
-    return connected_components(g.select(F.col("regions")[0].alias("a"), F.col("regions")[1].alias("b")).distinct())
+    """Components of all matches of earlier runs, whatever their similarity: each row's
+    members are linked to its least one."""
+    g = read(spark, d, "similar_groups").select(F.array_compact("regions").alias("m"))
+    e = g.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).filter("a <> b").distinct()
+    return connected_components(e)

@@ -231,6 +231,15 @@ def test_links_join_what_all_pairs_join(spark):
     assert got == joined(pairs) and got[1] == got[2] == got[3] == got[4] == 1
 
 
+def test_union_find_takes_every_match(spark, tmp_path):
+    from graftline.plans.catalog import QUERIES
+
+    rows = [([1, 2], 0.97), ([3, 2], 97.0), ([4, 5, 3], 0.99), ([7, 6], 0.5), ([9, 8], None), ([None, 10, 9], 0.6), ([11], 1.0), (None, 1.0)]
+    spark.createDataFrame(rows, "regions array<long>, similarity double").write.parquet(str(tmp_path / "similar_groups.parquet"))
+    got = dict(map(tuple, QUERIES["l7_union_find"](spark, str(tmp_path)).collect()))
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8, 9: 8, 10: 8}
+
+
 def test_overlapping_regions_form_no_edge(spark):
     s = spark.createDataFrame([(i, [1] * 128) for i in (1, 2, 3)] + [(4, [])], "region_id long, sig array<long>")
     r = spark.createDataFrame([(1, "p", 1, 5), (2, "p", 4, 9), (3, "q", 1, 5), (4, "q", 7, 9)], "region_id long, path string, start_line int, end_line int")
