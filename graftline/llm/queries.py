@@ -128,13 +128,13 @@ def p8_item_report(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixed and shuffled copies, with their texts."""
-    return mixture.mixture(read(spark, d, "documents"), read(spark, d, "mix_targets"))[0]
+    return mixture.Mixture(read(spark, d, "documents"), read(spark, d, "mix_targets")).copies()
 
 
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares reached, next to the shares wanted."""
-    return mixture.mixture(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
+    return mixture.Mixture(read(spark, d, "documents"), read(spark, d, "mix_targets")).report()
 
 
 @query

@@ -10,10 +10,13 @@ is concentrated as that of sampling without replacement. A set of n tokens needs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _U = np.uint64
 EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -75,9 +78,19 @@ def band_rows(ids: list[str], bands: int, rows: int, seed: int = 1):
     return run
 
 
-def bit_sketches(ids: list[str], words: int = 4, seed: int = 7):
-    """A ``mapInArrow`` function: (ids..., tokens) to (ids..., tokens, b0..): one bit of
-    each of 64 * words coordinates, so equal bits estimate (1 + J) / 2."""
+def bits_differ(j: float, words: int, a: str = "a_b", b: str = "b_b") -> Column:
+    """Whether two bit sketches, in columns like ``a_b0`` and ``b_b0``, differ so much that
+    the similarity is below ``j``: four standard deviations below the bits expected at
+    ``j``, which misses 1 pair in 30,000 there and fewer above."""
+    n, p = 64 * words, (1 + j) / 2
+    least = math.floor(n * p - 4 * math.sqrt(n * p * (1 - p)))
+    differ = sum((F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in range(words)), F.lit(0))
+    return differ > n - least
+
+
+def bit_sketches(ids: list[str], words: int = 4, seed: int = 7, tokens: bool = True):
+    """A ``mapInArrow`` function: (ids..., tokens) to (ids..., tokens, b0..), or without the
+    tokens: one bit of each of 64 * words coordinates, so equal bits estimate (1 + J) / 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -87,7 +100,7 @@ def bit_sketches(ids: list[str], words: int = 4, seed: int = 7):
                 with np.errstate(over="ignore"):
                     bits = (mix(fast_sketch(values, owner, b.num_rows, 64 * words, seed)) & _U(1)).astype(np.uint8)
                 packed = np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.int64).reshape(b.num_rows, words)
-                cols = [b.column(i) for i in range(len(ids) + 1)]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(packed[:, w])) for w in range(words))], names=[*ids, "tokens", *(f"b{w}" for w in range(words))])
+                cols = [b.column(i) for i in range(len(ids) + tokens)]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(packed[:, w])) for w in range(words))], names=[*ids, *["tokens"] * tokens, *(f"b{w}" for w in range(words))])
 
     return run

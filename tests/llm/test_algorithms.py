@@ -189,7 +189,7 @@ def test_set_join_against_all_pairs(spark):
     assert {(x[0], x[1]) for x in got} == want and len(got) == len(want)
     assert all(x[2] == pytest.approx(jaccard(left[x[0]], right[x[1]]), abs=1e-6) for x in got)
     # small nodes and forced splitting give the same pairs
-    assert {(x[0], x[1]) for x in setjoin.lists_to_regions(lists, sh, small=2, depth=2).collect()} == want
+    assert {(x[0], x[1]) for x in setjoin.lists_to_regions(lists, sh, small=2).collect()} == want
     assert setjoin.lists_to_regions(lists.limit(0), sh).count() == 0
     assert setjoin.lists_to_regions(lists, sh.limit(0)).count() == 0
 
@@ -204,6 +204,20 @@ def test_set_self_join(spark):
     assert {(x["a"], x["b"]) for x in got.collect()} == want
 
 
+def test_set_join_splits_as_deep_as_needed(spark):
+    """Many records share most tokens, so that three levels leave large nodes."""
+    rng = random.Random(9)
+    core = [f"c{i}" for i in range(12)]
+    sets = {i: frozenset(core) | frozenset(f"t{rng.randrange(400)}" for _ in range(18)) for i in range(150)}
+    sets |= {200 + i: sets[i] | {f"x{i}"} for i in range(20)} | {300: sets[5], 301: sets[5]}
+    sh = spark.createDataFrame([(r, i, c, "x", 1) for r, v in sets.items() for i, c in enumerate(v)], SHINGLES)
+    want = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.6 - 1e-9}
+    got = setjoin.similar_pairs(near.token_sets(sh), None, 0.6, small=3)
+    assert sorted((x["a"], x["b"]) for x in got.collect()) == sorted(want)
+    rows = {(r["id"], r["node"]) for r in setjoin._split(near.token_sets(sh).withColumnRenamed("region_id", "id"), None, 0.6, [1, 2]).collect()}
+    assert len(rows) > 2 * len(sets)
+
+
 def test_trees_follow_the_recall():
     assert setjoin.trees_for(0.9, 1) == 3 and setjoin.trees_for(0.99999, 3) == 25
 

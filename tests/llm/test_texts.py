@@ -47,6 +47,27 @@ def test_one_long_literal_is_a_blob(spark):
     assert got == {i: why for i, (_, _, why) in cases.items()}
 
 
+def test_clusters_convict_their_members(spark):
+    """Pooled figures judge: among blobs under one mask a file with a share of 0.86 is one
+    too, alone it is none; a repository's family is generated without numbers or marks."""
+    table = lambda n, k: b"TABLE = [\n" + b"".join(b"    %d, %d, %d,\n" % (i * k, i + k, i) for i in range(n)) + b"]\n"
+    family = lambda n, w: b"".join(b"def get_%s_%s(self):\n    return self.slots[%d]\n" % (w, b"abcdefghijklmnopqrstuvwxyz"[i : i + 1], i * 7) for i in range(n))
+    conf = spark.createDataFrame([], "name string, ignore_dirs array<string>, cluster int")
+    together = [(i, "q", f"/s/q/t{i}.py", table(60 + i, i + 2), T, "junk") for i in range(1, 5)]
+    together += [(20 + i, "q", f"/s/q/f{i}.py", family(20, b"pqrs"[i : i + 1]), T, "junk") for i in range(3)]
+    got = {x["file_id"]: x for x in handwritten.judged(spark.createDataFrame(together, FILES), conf).collect()}
+    assert {i: got[i]["reason"] for i in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), "data blob")
+    assert {i: got[i]["reason"] for i in (20, 21, 22)} == dict.fromkeys((20, 21, 22), "generated family")
+    assert got[1]["cluster"] == got[4]["cluster"] and got[20]["family_files"] == 3
+    # the same masked shingles, but names beside the numbers
+    named = b"TABLE = [\n" + b"    1, 2, 3,\n" * 40 + b"]\n" + b"OTHER = [\n" + b"    x, y,\n" * 9 + b"]\n"
+    plain = b"TABLE = [\n" + b"    1, 2, 3,\n" * 400 + b"]\n" + b"OTHER = [\n" + b"    x, y,\n" * 9 + b"]\n"
+    rows = [(1, "q", "/s/q/a.py", named, T, "junk"), (2, "r", "/s/r/b.py", plain, T, "junk")]
+    both = {x["file_id"]: x["reason"] for x in handwritten.judged(spark.createDataFrame(rows, FILES), conf).collect()}
+    alone = {x["file_id"]: x["reason"] for x in handwritten.judged(spark.createDataFrame(rows[:1], FILES), conf).collect()}
+    assert both == {1: "data blob", 2: "data blob"} and alone == {1: None}
+
+
 def test_masked_clusters_join_renamed_files(spark):
     a = b"".join(b"def f%d(x):\n    y = g(x, %d)\n    return y\n" % (i, i) for i in range(6))
     b = a.replace(b"y", b"zed").replace(b"g(", b"other(")
@@ -87,8 +108,9 @@ def test_leaks_against_brute_force(spark):
     ii = spark.createDataFrame([(i, "t", t, 1) for i, t in items], "item_id long, task string, text string, doc_id int")
     want = leak_brute(docs, items)
     assert set(map(tuple, leak.leaked(dd, ii).collect())) == want
-    # blocks of items give the same
-    assert set(map(tuple, leak.passages(dd, ii, block_chars=100).select("doc_id", "item_id").distinct().collect())) == want
+    # beyond the automaton's bound, joins of windows give the same passages
+    scanned = set(map(tuple, leak.passages(dd, ii).collect()))
+    assert set(map(tuple, leak.passages(dd, ii, automaton_chars=100).collect())) == scanned
     by = dict(docs)
     texts = dict(items)
     for p in leak.passages(dd, ii).collect():
@@ -99,15 +121,15 @@ def test_leaks_against_brute_force(spark):
     assert leak.leaked(dd.limit(0), ii).count() == 0 and leak.leaked(dd, ii.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rate,cap", [(0.2, 1), (1.0, 3), (2.7, 3), (3.0, 3), (0.0, 2), (5.5, 20)])
+@pytest.mark.parametrize("rate,cap", [(0.2, 1), (1.0, 3), (2.7, 3), (3.0, 3), (0.0, 2), (5.5, 20), (800, 1000), (2999.5, 3000), (40.0, 100_000), (2.0, 0)])
 def test_cut_poisson_has_the_rate_as_mean(rate, cap):
-    below = mixture.cut_poisson(rate, cap)
-    assert len(below) == cap and below == sorted(below)
-    assert sum(1 - x for x in below) == pytest.approx(min(rate, cap), abs=1e-6)
+    base, cdf = mixture.cut_poisson(rate, cap)
+    assert base + len(cdf) <= cap and cdf == sorted(cdf) and all(0 < x < 1 for x in cdf)
+    assert base + sum(1 - x for x in cdf) == pytest.approx(min(rate, cap), abs=1e-6)
 
 
 def test_plan_is_bounded_by_the_scarcest_source():
-    got = {(m, s): r for m, s, _, _, r, _ in mixture.plan([("a", 1000), ("b", 100)], [("x", "a", 0.5, 1), ("x", "b", 0.5, 3), ("x", "gone", 0.1, 2)])}
+    got = {(m, s): r for m, s, _, _, r, *_ in mixture.plan([("a", 1000), ("b", 100)], [("x", "a", 0.5, 1), ("x", "b", 0.5, 3), ("x", "gone", 0.1, 2)])}
     assert got == {("x", "a"): pytest.approx(0.3), ("x", "b"): 3.0, ("x", "gone"): 0.0}
 
 
