@@ -36,9 +36,11 @@ def _parser() -> argparse.ArgumentParser:
     d.add_argument("--diff", action="store_true")
     d.add_argument("--fail", action="store_true")
     d.add_argument("--verbose", action="store_true")
+    d.add_argument("--progress", action="store_true", help="print each stage as it ends")
     t = sub.add_parser("inspect", help="show a file's normalised tokens")
     t.add_argument("path")
     t.add_argument("--source", action="store_true", help="show the transformed source instead")
+    t.add_argument("--compare", action="store_true", help="show the source next to it")
     r = sub.add_parser("list-ruleset", help="list the rules of a ruleset")
     r.add_argument("name", choices=("none", "default", "loose"))
     r.add_argument("--language")
@@ -58,16 +60,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "inspect":
         f = sources.scan(spark, args.path)
         nodes = sources.parsed(sources.parse_files(f, tolerant=True)).join(f.select(F.col("file_id").alias("tree_id"), F.col("language").alias("shingle_language")), "tree_id")
-        view = inspect.transformed_source if args.source else inspect.tokens_by_line
-        for row in view(nodes, ruleset(args.ruleset)).orderBy("tree_id", "line").toLocalIterator():
-            print(f"{row[1]:5d}  {row[2]}")
+        rules, files = ruleset(args.ruleset), f.select("file_id", "source")
+        if args.compare:
+            for row in inspect.comparison(nodes, rules, files).orderBy("tree_id", "line").toLocalIterator():
+                print(f"{row[1]:5d}  {row[2]:<58.58s} | {row[3] or ''}")
+        else:
+            view = inspect.transformed_source(nodes, rules, files) if args.source else inspect.tokens_by_line(nodes, rules)
+            for row in view.orderBy("tree_id", "line").toLocalIterator():
+                print(f"{row[1]:5d}  {row[2]}")
+        for row in inspect.totals(inspect.tokens_by_line(nodes, rules)).toLocalIterator():
+            print(f"{row[1]} lines, {row[2]} tokens")
         return 0
     try:
         settings = Settings.for_cli(args.similarity, ruleset=args.ruleset, min_lines=args.min_lines, ignore_patterns=tuple(parse_list(args.ignore)), ignore_files=tuple(parse_list(args.ignore_files)), additional_regions=parse_region_specs(args.add_regions), excluded_regions=parse_region_specs(args.exclude_regions))
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
-    found = detect(spark, args.path, settings)
+    tell = (lambda name, n, seconds: print(f"{name}: {n} in {seconds:.1f} s", file=sys.stderr, flush=True)) if args.progress else None
+    found = detect(spark, args.path, settings, tell)
     if args.format == "sarif":
         text = report.write_sarif(report.sarif_results(found.groups, found.members, found.regions), args.output)
         if not args.output:
@@ -83,9 +93,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.output:
             out.close()
     if args.diff:
-        text = dict(diff.region_lines(found.regions, found.files).join(found.members, "region_id", "left_semi").toLocalIterator())
-        for row in diff.group_diffs(found.members, found.regions, found.files).orderBy("group_id").toLocalIterator():
-            print("identical" if row["identical"] else "\n".join(diff.side_by_side(list(text[row["a"]]), list(text[row["b"]]))))
+        for row in diff.group_diffs(found.members, found.regions, found.files, texts=True).orderBy("group_id").toLocalIterator():
+            print("identical" if row["identical"] else "\n".join(diff.side_by_side(list(row["la"]), list(row["lb"]))))
     if args.verbose:
         for name, n, seconds, share in found.stage_table():
             print(f"{name}\t{n}\t{seconds:.2f} s\t{share:.0%}")

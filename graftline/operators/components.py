@@ -1,4 +1,4 @@
-"""Connected components of the similarity graph by least labels and pointer jumping."""
+"""Connected components of the similarity graph by repeated contraction."""
 
 from __future__ import annotations
 
@@ -8,23 +8,42 @@ from pyspark.sql import functions as F
 from graftline.runtime import cut, skew_join
 
 
+def _picks(edges: DataFrame, turn: int) -> DataFrame:
+    """``(node, rep, n)``: each node's choice among itself and its neighbours, the least by
+    a hash of the round, and its number of edges."""
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("node"))
+    both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    per = both.groupBy("x").agg(F.min(rank("y")).alias("least"), F.count(F.lit(1)).alias("n"))
+    return per.select(F.col("x").alias("node"), F.least("least", rank("x"))["node"].alias("rep"), "n")
+
+
 def connected_components(edge_table: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an edge; the component is its least node.
 
-    Each round every node takes the least label among its neighbours' (one pre-aggregated
-    minimum), then labels jump to their labels' labels. Rounds are checkpointed reliably."""
-    e = edge_table.select(F.col(u).alias("x"), F.col(v).alias("y")).filter("x is not null and y is not null and x <> y")
-    both = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    degree = cut(both.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("least")))
-    total = degree.agg(F.sum("n")).first()[0] or 0
-    label = cut(degree.select(F.col("x").alias("node"), F.least("x", "least").alias("label")))
-    while True:
-        known = label.join(degree.select(F.col("x").alias("node"), "n"), "node").select(F.col("node").alias("x"), "label", "n")
-        near = skew_join(both, known, ["x"], total=total).groupBy(F.col("y").alias("node")).agg(F.min("label").alias("near"))
-        nxt = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        nxt = cut(nxt.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        changed = nxt.filter("label <> old").limit(1).count()
-        label = nxt.select("node", "label")
-        if not changed:
-            return label.select("node", F.col("label").alias("component"))
+    Each round contracts every node into the neighbour that a random order puts first, so
+    the graph shrinks geometrically whatever its diameter; then the choices are put
+    together from the last round to the first. Rounds are checkpointed reliably. Null ends
+    and loops link nothing; repeated and reversed edges count once."""
+    e = edge_table.select(F.least(u, v).alias("x"), F.greatest(u, v).alias("y"), F.col(u).alias("_u"), F.col(v).alias("_v"))
+    e = cut(e.filter("_u is not null and _v is not null and x <> y").select("x", "y").distinct())
+    chosen: list[DataFrame] = []
+    turn = 0
+    while total := e.count():
+        picks = cut(_picks(e, turn))
+        chosen.append(picks)
+        one = picks.select(F.col("node").alias("x"), F.col("rep").alias("rx"), "n")
+        two = picks.select(F.col("node").alias("y"), F.col("rep").alias("ry"), "n")
+        #: an edge has two ends, so twice their number bounds every count
+        moved = skew_join(skew_join(e, one, ["x"], total=2 * total).drop("n"), two, ["y"], total=2 * total)
+        moved = moved.filter("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y"))
+        e = cut(moved.distinct())
+        turn += 1
+    if not chosen:
+        return e.select(F.col("x").alias("node"), F.col("x").alias("component"))
+    label = chosen[-1].select("node", "rep")
+    for picks in reversed(chosen[:-1]):
+        sizes = picks.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+        far = sizes.join(label.select(F.col("node").alias("rep"), F.col("rep").alias("far")), "rep", "left")
+        label = cut(skew_join(picks.select("node", "rep"), far, ["rep"]).select("node", F.coalesce("far", "rep").alias("rep")))
+    least = label.groupBy("rep").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n"))
+    return skew_join(label, least, ["rep"]).select("node", "component")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graftline.operators.report import ordinals
+from graftline.runtime import skew_join
 
 OPCODES = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("i1", "i2", "j1", "j2"))]))
 
@@ -40,16 +40,21 @@ def identical(ops: str) -> Column:
     return (F.size(ops) == 0) | ((F.size(ops) == 1) & (F.element_at(F.col(ops), 1)["tag"] == "equal"))
 
 
-def group_diffs(members: DataFrame, regions: DataFrame, files: DataFrame) -> DataFrame:
-    """``(group_id, a, b, ops, identical)`` of each group's first two members."""
-    m = ordinals(members, regions).select("group_id", "region_id", "ordinal").filter("ordinal < 2")
-    both = m.groupBy("group_id").agg(F.min_by("region_id", "ordinal").alias("a"), F.max_by("region_id", "ordinal").alias("b"))
+def group_diffs(members: DataFrame, regions: DataFrame, files: DataFrame, texts: bool = False) -> DataFrame:
+    """``(group_id, a, b, ops, identical)`` of each group's first two members, with their
+    lines ``la`` and ``lb`` if ``texts``."""
+    #: the two least by aggregation, so that no group has to be sorted in one task
+    order = F.struct("path", "start_line", "end_line", "region_id")
+    m = members.join(regions.select("region_id", "path", "start_line", "end_line"), "region_id")
+    first = m.groupBy("group_id").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("n"))
+    rest = skew_join(m, first, ["group_id"]).filter(order != F.col("x")).groupBy("group_id").agg(F.min(order).alias("y"))
+    both = first.join(rest, "group_id", "left").select("group_id", F.col("x.region_id").alias("a"), F.coalesce("y.region_id", "x.region_id").alias("b"))
     text = region_lines(regions, files)
     d = both.join(text.toDF("a", "la"), "a").join(text.toDF("b", "lb"), "b")
     same = F.col("la") == F.col("lb")
     whole = F.array(F.struct(F.lit("equal").alias("tag"), F.lit(0).alias("i1"), F.size("la").alias("i2"), F.lit(0).alias("j1"), F.size("lb").alias("j2")))
     d = d.withColumn("ops", F.when(same, whole).otherwise(line_opcodes("la", "lb")))
-    return d.select("group_id", "a", "b", "ops", identical("ops").alias("identical"))
+    return d.select("group_id", "a", "b", "ops", identical("ops").alias("identical"), *(["la", "lb"] if texts else []))
 
 
 def side_by_side(a: list[str], b: list[str], width: int = 120) -> list[str]:

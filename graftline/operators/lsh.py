@@ -7,8 +7,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftline.functions.expressions import jaccard_estimate, lines, overlaps
+from graftline.functions.expressions import jaccard_estimate, lines
 from graftline.operators.components import connected_components
+from graftline.operators.pairing import bucket_pairs, joining_pairs, overlapping
+from graftline.runtime import cut
 from graftline.settings import Settings
 
 
@@ -54,13 +56,49 @@ def representatives(signatures: DataFrame) -> DataFrame:
     return signatures.join(classes(signatures).filter("region_id = rep").select("region_id"), "region_id", "left_semi")
 
 
+def _buckets(reps: DataFrame, threshold: float) -> DataFrame:
+    return bands(reps, *shape(threshold)).select("region_id", F.xxhash64("band", "bucket").alias("bucket"))
+
+
 def candidates(signatures: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of class representatives that share a bucket: an
-    equi-join on (band, bucket), whose hot buckets AQE splits."""
-    reps = representatives(signatures)
-    k = bands(reps, *shape(threshold))
-    left, right = k.select(F.col("region_id").alias("a"), "band", "bucket"), k.select(F.col("region_id").alias("b"), "band", "bucket")
-    return left.join(right, ["band", "bucket"]).filter("a < b").select("a", "b").distinct()
+    """Distinct pairs (a, b), a < b, of class representatives that share a bucket; large
+    buckets are paired in blocks. ``classes`` has the members."""
+    return bucket_pairs(_buckets(representatives(signatures), threshold))
+
+
+def _partners(pairs: DataFrame, members: DataFrame, alias: str) -> DataFrame:
+    """``(region_id, rep, alias)``: of each member, the regions that ``pairs`` of classes
+    and its own class pair it with, without writing out a pair of regions."""
+    size = cut(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    per = both.join(size.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("m"))
+    whole = size.join(per, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias(alias))
+    return members.join(whole, "rep").select("region_id", "rep", alias)
+
+
+def candidate_counts(signatures: DataFrame, threshold: float) -> DataFrame:
+    """``(region_id, rep, n_candidates)``: how many other regions share a bucket with each
+    region that has a signature; regions of one class share all of theirs."""
+    members = classes(signatures.filter(F.size("sig") >= shape(threshold)[0] * shape(threshold)[1]))
+    return _partners(candidates(signatures, threshold), members, "n_candidates")
+
+
+def link_counts(signatures: DataFrame, regions: DataFrame, settings: Settings) -> DataFrame:
+    """``(region_id, rep, n_links)``: how many other regions each region forms a pair with:
+    candidates whose estimate reaches the pair threshold and that share no line with it.
+
+    Counted per class; what overlaps is taken off one by one, since few ranges of a path
+    share a line. Regions without a signature or a place form no pair."""
+    placed = regions.select("region_id", "path", "start_line", "end_line").filter("path is not null and start_line is not null and end_line is not null")
+    own = cut(classes(signatures).join(placed.select("region_id"), "region_id", "left_semi"))
+    near = cut(verified(signatures, settings))
+    whole = _partners(near, own, "n_links")
+    x, y = own.toDF("a", "ra"), own.toDF("b", "rb")
+    over = overlapping(placed).join(x, "a").join(y, "b")
+    pair = near.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    alike = over.filter("ra = rb").unionByName(over.filter("ra <> rb").join(pair, (F.least("ra", "rb") == F.col("lo")) & (F.greatest("ra", "rb") == F.col("hi")), "left_semi"))
+    off = alike.select(F.explode(F.array("a", "b")).alias("region_id")).groupBy("region_id").agg(F.count(F.lit(1)).alias("off"))
+    return whole.join(off, "region_id", "left").select("region_id", "rep", (F.col("n_links") - F.coalesce("off", F.lit(0))).alias("n_links")).filter("n_links > 0")
 
 
 def estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -70,22 +108,24 @@ def estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", jaccard_estimate("sig_a", "sig_b").alias("estimate"))
 
 
-def with_places(pairs: DataFrame, regions: DataFrame) -> DataFrame:
-    side = lambda s: regions.select(F.col("region_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("path", "start_line", "end_line")])
-    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("overlapping", overlaps("path_a", "start_line_a", "end_line_a", "path_b", "start_line_b", "end_line_b"))
-
-
 def verified(signatures: DataFrame, settings: Settings) -> DataFrame:
     """(a, b, estimate) of representatives whose estimate reaches the pair threshold."""
     return estimated(candidates(signatures, settings.lsh_threshold), signatures).filter(F.col("estimate") >= settings.pair_threshold)
 
 
-def edges(signatures: DataFrame, regions: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b, estimate) of similar regions that do not overlap, over representatives:
-    copies link to their representative, representatives by verified candidate pairs.
-    ``links`` adds what other members of the classes join."""
-    same = classes(signatures).filter("region_id <> rep").select(F.col("rep").alias("a"), F.col("region_id").alias("b"), F.lit(1.0).alias("estimate"))
-    return with_places(verified(signatures, settings).unionByName(same), regions).filter(~F.col("overlapping")).select("a", "b", "estimate")
+def joining(signatures: DataFrame, by_path: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, estimate) of near classes that join them all. Two classes that span two paths
+    together are wholly linked, so such pairs are contracted before the last look."""
+    reps = cut(representatives(signatures))
+    paths = cut(by_path.groupBy("rep").agg(F.min("path").alias("lo"), F.max("path").alias("hi")))
+    side = lambda s: paths.select(F.col("rep").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        e = estimated(pairs, reps).filter(F.col("estimate") >= settings.pair_threshold)
+        return e.join(side("a"), "a").join(side("b"), "b").select("a", "b", "estimate", (F.least("lo_a", "lo_b") != F.greatest("hi_a", "hi_b")).alias("strong"))
+
+    buckets = _buckets(reps, settings.lsh_threshold).select(F.col("region_id").alias("cls"), F.lit(1).alias("size"), "bucket")
+    return cut(joining_pairs(cut(buckets), verify, connected_components)).select("a", "b", "estimate")
 
 
 def _apart(x: Column, y: Column) -> Column:
@@ -101,7 +141,8 @@ def _linked(x: Column, ys: Column) -> Column:
 
 def links(signatures: DataFrame, regions: DataFrame, settings: Settings) -> DataFrame:
     """(a, b, estimate) of similar regions that do not overlap, with the components of all
-    such pairs: ``edges``, and what the overlap of a representative would hide.
+    such pairs. Classes are paired by stars and contraction (``joining_pairs``); copies
+    link to their class.
 
     Three anchors stand for a class: of one path, the member that ends first and the one
     that starts last, and a member of another path. A region that is apart from any member
@@ -124,7 +165,7 @@ def links(signatures: DataFrame, regions: DataFrame, settings: Settings) -> Data
     same = m.join(cls.select("rep", "anchors", "own"), "rep").filter("region_id <> rep")
     same = same.select(F.explode(F.when(_apart(F.col("at"), F.col("own")), _linked(F.col("at"), F.array("own"))).otherwise(_linked(F.col("at"), F.col("anchors")))).alias("p"), F.lit(1.0).alias("estimate"))
     side = lambda s: pieces.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("anchors", "own", "all", "whole")])
-    j = verified(signatures, settings).join(side("a"), "a").join(side("b"), "b")
+    j = joining(signatures, by_path, settings).join(side("a"), "a").join(side("b"), "b")
     c = F.col
     every = F.flatten(F.array(F.flatten(F.transform("all_a", lambda x: _linked(x, c("anchors_b")))), F.flatten(F.transform("all_b", lambda x: _linked(x, c("anchors_a"))))))
     own = _linked(c("own_a"), F.array("own_b"))

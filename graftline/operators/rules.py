@@ -319,8 +319,33 @@ def parse_region_specs(specs: Iterable[str]) -> dict[str, tuple[str, ...]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
-def load_rules(spec: Mapping) -> list[Rule]:
-    """Rules from a mapping of rulesets, whose ``extends`` names another one."""
+#: What a rule in a mapping may state; the rest is a mistake.
+_REQUIRED, _OPTIONAL = ("name", "languages", "kinds", "action"), ("parent", "grandparent", "field", "text", "has", "params", "inject", "content")
+
+
+def parse_rule(spec: Mapping) -> Rule:
+    """A rule from a mapping: name, languages, kinds and action, and if wanted the node's
+    parent and grandparent kinds, its field, ``text`` as [operator, argument], ``has`` as
+    [kind, pattern], parameters, and the language and content kind of an injection."""
+    missing = [k for k in _REQUIRED if k not in spec]
+    if missing:
+        raise ValueError(f"rule lacks {', '.join(missing)}")
+    unknown = [k for k in spec if k not in (*_REQUIRED, *_OPTIONAL)]
+    if unknown:
+        raise ValueError(f"rule states unknown {', '.join(unknown)}")
+    for k in ("text", "has"):
+        if k in spec and len(spec[k]) != 2:
+            raise ValueError(f"{k} takes two values")
+    if "text" in spec and spec["text"][0] not in ("match", "eq", "not_eq"):
+        raise ValueError(f"unknown text operator {spec['text'][0]!r}")
+    pair = lambda k: tuple(spec[k]) if k in spec else None
+    match = Match(tuple(spec["kinds"]), tuple(spec.get("parent", ())), tuple(spec.get("grandparent", ())), spec.get("field"), pair("text"), pair("has"))
+    return Rule(spec["name"], tuple(spec["languages"]), match, Action(spec["action"]), dict(spec.get("params", {})), spec.get("inject"), spec.get("content"))
+
+
+def load_rules(spec: Mapping, name: str | None = None) -> list[Rule]:
+    """Rules from a mapping of rulesets, of all of them or of the one named; ``extends``
+    puts another ruleset's rules before a ruleset's own."""
 
     def one(name: str, path: tuple[str, ...]) -> list[Rule]:
         if name in path:
@@ -329,14 +354,20 @@ def load_rules(spec: Mapping) -> list[Rule]:
             raise ValueError(f"unknown ruleset {name!r}")
         body = spec["rulesets"][name]
         rules = one(body["extends"], (*path, name)) if body.get("extends") else []
-        for r in body.get("rules", []):
-            missing = [k for k in ("name", "languages", "kinds", "action") if k not in r]
-            if missing:
-                raise ValueError(f"rule lacks {', '.join(missing)}")
-            rules.append(Rule(r["name"], tuple(r["languages"]), Match(tuple(r["kinds"])), Action(r["action"]), dict(r.get("params", {}))))
-        return rules
-
-    return [r for n in spec["rulesets"] for r in one(n, ())]
+        return rules + [parse_rule(r) for r in body.get("rules", [])]
+
+    return [r for n in ([name] if name else spec["rulesets"]) for r in one(n, ())]
+
+
+def text_kinds(rules: Iterable[Rule]) -> frozenset[str]:
+    """Kinds whose text the rules read even where they are inner nodes."""
+    out: set[str] = set()
+    for r in rules:
+        if r.match.text or r.action is Action.ANONYMIZE or (r.inject and not r.content):
+            out |= set(r.match.kinds)
+        out |= {r.match.has[0]} if r.match.has else set()
+        out |= {r.content} if r.content else set()
+    return frozenset(out)
 
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:

@@ -42,7 +42,9 @@ def region_nodes(nodes: DataFrame, regions: DataFrame) -> DataFrame:
 def compile_rules(rules: list[Rule], language: str = "shingle_language") -> dict[str, Column]:
     """Columns ``removed``, ``name`` and ``value`` (null: as it is), ``anon`` (prefix to
     number under, also where a later rule overwrites it) and ``numbered`` (whether the
-    number is the value in the end). Later rules win per slot; a removal ends a node."""
+    number is the value in the end). Rules for all languages come first, then those of
+    languages, each in order; later rules win per slot; a removal ends a node."""
+    rules = [r for r in rules if "*" in r.languages] + [r for r in rules if "*" not in r.languages]
 
     def on(r: Rule) -> Column:
         c = r.match.column()

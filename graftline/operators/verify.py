@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from graftline.functions.expressions import lines
 from graftline.operators.rules import Rule, anonymises_name
-from graftline.runtime import cut
+from graftline.runtime import cut, skew_join
 
 GATED = ("function", "class", "method")
+#: Variants of a group in one block of its pairs.
+BLOCK = 64
 
 
 def ordered_ratio(a: list, b: list) -> float:
@@ -57,9 +59,16 @@ def signature_lines(regions: DataFrame, files: DataFrame) -> DataFrame:
     return regions.select("region_id", "tree_id", "start_line").join(f, "tree_id", "left").select("region_id", F.regexp_replace(line, r"^\s+|\s+$", "").alias("signature"))
 
 
-def unanonymised(rules: list[Rule], pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Of (language, region_type) pairs, those whose names no active rule replaces."""
-    return [(lang, t) for lang, t in pairs if not anonymises_name(rules, lang, t)]
+def names_checked(rules: list[Rule]) -> Column:
+    """Whether a row's kind of region (``language``, ``region_type``) is one whose names no
+    active rule replaces; a kind without a language is judged by the rules for all."""
+    hidden = F.lit(False)
+    named = sorted({x for r in rules for x in r.languages})
+    for t in GATED:
+        langs = [x for x in named if x != "*" and anonymises_name(rules, x, t)]
+        always = anonymises_name([r for r in rules if "*" in r.languages], "*", t)
+        hidden = hidden | ((F.col("region_type") == t) & (F.lit(True) if always else F.coalesce(F.col("language").isin(*langs), F.lit(False)) if langs else F.lit(False)))
+    return F.coalesce(F.col("region_type").isin(*GATED) & ~hidden, F.lit(False))
 
 
 def verified(members: DataFrame, lists: DataFrame, regions: DataFrame, signatures: DataFrame | None = None, rules: list[Rule] | None = None, gate: float = 0.98) -> DataFrame:
@@ -67,26 +76,25 @@ def verified(members: DataFrame, lists: DataFrame, regions: DataFrame, signature
 
     Members with one list (and, where names are checked, one signature line) are one class
     with a weight, so copies are compared once. Pairs of classes are joined by group; a
-    pair is taken in the order of path, start and end. A ratio of at least ``gate`` between
+    pair is taken in the order of path, start, end and class. A ratio of at least ``gate`` between
     functions, classes or methods whose first lines differ counts 0, unless the active
     rules replace both names."""
     m = members.join(regions.select("region_id", "path", "start_line", "end_line", "region_type", "language"), "region_id").join(looked_up(lists, regions), "region_id", "left")
     if signatures is not None:
-        kinds = [tuple(r) for r in regions.select("language", "region_type").filter(F.col("region_type").isin(*GATED)).distinct().limit(1000).collect()]
-        plain = unanonymised(rules or [], kinds)
-        checked = F.lit(False)
-        for lang, t in plain:
-            checked = checked | ((F.col("language") == lang) & (F.col("region_type") == t))
-        m = m.join(signatures, "region_id", "left").withColumn("named", F.col("region_type").isin(*GATED)).withColumn("checked", checked)
+        m = m.join(signatures, "region_id", "left").withColumn("named", F.coalesce(F.col("region_type").isin(*GATED), F.lit(False))).withColumn("checked", names_checked(rules or []))
     else:
         m = m.withColumn("signature", F.lit(None).cast("string")).withColumn("named", F.lit(False)).withColumn("checked", F.lit(False))
     key = F.sha2(F.to_json(F.struct(F.coalesce("contents", F.array().cast("array<string>")).alias("c"), F.when(F.col("named"), F.col("signature")).alias("s"), "named", "checked")), 256)
     c = m.withColumn("cls", key).groupBy("group_id", "cls").agg(
-        F.count(F.lit(1)).alias("n"), F.first("contents").alias("contents"), F.first("signature").alias("sig"), F.first("named").alias("named"), F.first("checked").alias("checked"), F.min(F.struct("path", "start_line", "end_line")).alias("ord"))
+        F.count(F.lit(1)).alias("n"), F.first("contents").alias("contents"), F.first("signature").alias("sig"), F.first("named").alias("named"), F.first("checked").alias("checked"), F.min(F.struct("path", "start_line", "end_line", "cls")).alias("ord"))
     c = cut(c)
-    x = c.select("group_id", *[F.col(k).alias(f"{k}_a") for k in ("n", "contents", "sig", "named", "checked", "ord")])
-    y = c.select("group_id", *[F.col(k).alias(f"{k}_b") for k in ("n", "contents", "sig", "named", "checked", "ord")])
-    p = x.join(y, "group_id").filter("ord_a < ord_b").withColumn("r", ratio("contents_a", "contents_b"))
+    #: a group's pairs of variants are spread over tasks: one side lies in blocks, the other meets each
+    sizes = c.groupBy("group_id").agg(F.count(F.lit(1)).alias("_k"))
+    blocks = F.greatest(F.ceil(F.col("_k") / F.lit(BLOCK)), F.lit(1)).cast("int")
+    d = skew_join(c, sizes.filter("_k > 1"), ["group_id"], "_k")
+    side = lambda d, s: d.select("group_id", "_block", *[F.col(k).alias(f"{k}_{s}") for k in ("n", "contents", "sig", "named", "checked", "ord")])
+    x, y = side(d.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))), "a"), side(d.withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int")), "b")
+    p = x.join(y, ["group_id", "_block"]).filter("ord_a < ord_b").repartition("ord_a", "ord_b").withColumn("r", ratio("contents_a", "contents_b"))
     differ = F.col("named_a") & F.col("named_b") & (F.col("checked_a") | F.col("checked_b")) & F.coalesce(F.col("sig_a") != F.col("sig_b"), F.lit(False))
     p = p.withColumn("r", F.when((F.col("r") >= gate) & differ, 0.0).otherwise(F.col("r")))
     across = p.groupBy("group_id").agg(F.sum(F.col("r") * F.col("n_a") * F.col("n_b")).alias("across"))

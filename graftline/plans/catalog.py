@@ -8,14 +8,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.functions import expressions as X
-from graftline.operators import diff, inspect, lsh, minhash, regions, report, rules, shingles, verify
+from graftline.operators import diff, inspect, lsh, minhash, pairing, regions, report, rules, shingles, verify
 from graftline.operators.components import connected_components
 from graftline.plans.pipeline import detect, detect_files
-from graftline.runtime import cut, latest, read
+from graftline.runtime import cut, latest, ranked, read
 from graftline.settings import Settings
 from graftline.sources import files as sources
 from graftline.sources import ignore
@@ -28,6 +28,16 @@ SETTINGS = Settings()
 EXAMPLES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples")
 
 
+#: Digests of the example files in the order of their names.
+EXAMPLE_DIGESTS = (
+    "4b246c549f8acf401a074ff7fad9c7d7",
+    "5fd89b2e51640c4df3242b11ae5fb9da",
+    "c09fa34a262eee675bf065346f32c88c",
+    "23118a2c50964acdf1468120a37b62cc",
+    "8250fe544743edd8d07cea68bef885f0",
+)
+
+
 def query(sql: str | None = None):
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -64,7 +74,7 @@ def s1_language_detect(spark: SparkSession, d: str) -> DataFrame:
     return files_table(spark, d).select("file_id", detect_language().alias("detected"))
 
 
-@query()
+@query("select * from (values ('config.yaml', 67::bigint, '%s'), ('guide.md', 253, '%s'), ('page.html', 181, '%s'), ('shapes.py', 580, '%s'), ('totals.js', 323, '%s')) t(rel_path, length, md5)" % EXAMPLE_DIGESTS)
 def s2_read_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the example files, read whole."""
     return sources.read_binary(spark, EXAMPLES).select(ignore.relative(F.col("path"), F.lit(EXAMPLES)).alias("rel_path"), "length", F.md5("source").alias("md5"))
@@ -74,7 +84,7 @@ def s2_read_bytes(spark: SparkSession, d: str) -> DataFrame:
 def s3_parse_source(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of every source file by kind and language."""
     f = sources.scan_table(read(spark, d, "source_files"))
-    n = sources.parsed(sources.parse_files(f, tolerant=True)).join(f.select(F.col("file_id").alias("tree_id"), "language"), "tree_id")
+    n = sources.parsed(sources.parse_files(f, tolerant=True, texts=frozenset())).join(f.select(F.col("file_id").alias("tree_id"), "language"), "tree_id")
     return n.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
@@ -104,9 +114,12 @@ def s10_parse_path(spark: SparkSession, d: str) -> DataFrame:
     return f.join(n, "file_id").select("rel_path", "language", "n_nodes")
 
 
-@query("select count(distinct doc_id) as n_documents, sum(length(text))::bigint as n_chars from documents")
+@query(f"""
+with r as (select *, row_number() over (partition by file_id order by ingested_at desc nulls last) as n from source_files)
+select file_id, path, rel_path, {CASES} as language, md5(source) as md5 from r where n = 1 and {CASES} is not null""")
 def s13_table_source(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").agg(F.count_distinct("doc_id").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
+    """The table of files as a source: the latest delivery of each, with its language."""
+    return sources.scan_table(read(spark, d, "source_files")).select("file_id", "path", "rel_path", "language", F.md5(F.coalesce("source", F.lit(b""))).alias("md5"))
 
 
 # ------------------------------------------------------------------ ignore filters
@@ -134,11 +147,18 @@ def i1_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 with r as (select distinct name, trim(both '/' from d) as d from (select name, unnest(ignore_dirs) as d from repo_configs) where d is not null and trim(d) <> '')
-select file_id from {FILES} f where not exists (select 1 from r where r.name = f.repo_name and (list_contains(string_split(f.rel_path, '/'), r.d) or starts_with(f.rel_path, r.d || '/')))""")
+select file_id from {FILES} f
+where not exists (select 1 from r where r.name = f.repo_name and (list_contains(string_split(f.rel_path, '/'), r.d) or starts_with(f.rel_path, r.d || '/')))
+  and not coalesce(regexp_matches(rel_path, '^src/(.*/)?[^/]*_1[^/]*[.]py$') or regexp_matches(rel_path, '^lib/.*_2.*[.]go$') or regexp_matches(rel_path, '(^|/)tests(/|$)|(^|/)engine/'), false)""")
 def i7_hierarchical(spark: SparkSession, d: str) -> DataFrame:
-    """Files that their repository's own patterns leave."""
-    r = read(spark, d, "repo_configs").select(F.col("name").alias("repo_name"), F.lit("").alias("base"), F.explode("ignore_dirs").alias("pattern")).distinct()
-    return ignore.drop_by_directory(files_table(spark, d), r, "repo_name").select("file_id")
+    """Files that the ignore files of their directories leave: the repositories' own
+    directories at the root, and globs that hold below a folder or everywhere."""
+    name = F.trim(F.regexp_replace("d", "^/+|/+$", ""))
+    own = read(spark, d, "repo_configs").select(F.col("name").alias("repo_name"), F.explode("ignore_dirs").alias("d")).filter("d is not null and trim(d) <> ''")
+    own = own.select("repo_name", F.lit("").alias("base"), F.when(F.contains(name, F.lit("/")), F.concat(name, F.lit("/"))).otherwise(name).alias("pattern"))
+    below = spark.createDataFrame([("src", "*_1*.py"), ("lib", "/*_2*.go"), ("", "tests"), ("", "**/engine/*"), ("", "!src"), ("", " ")], "base string, pattern string").withColumn("_all", F.lit(1))
+    left = ignore.drop_by_directory(files_table(spark, d), own, "repo_name")
+    return ignore.drop_by_directory(left.withColumn("_all", F.lit(1)), below, "_all").select("file_id")
 
 
 @query(f"select file_id from {FILES} where not coalesce(starts_with(rel_path, 'tests/') or regexp_full_match(rel_path, '.*\\.min\\.js') or list_contains(string_split(rel_path, '/'), 'node_modules'), false)")
@@ -152,20 +172,10 @@ def i9_relative_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ regions
-_REGION_RULES = [(r.languages[0], r.params["region_type"]) for r in rules.region_rules()]
-
-
-@query(f"select region_id, exists (select 1 from (values {', '.join(f'({a!r}, {b!r})' for a, b in _REGION_RULES)}) t(l, t) where t.l = r.language and t.t = r.region_type) as known from {REGIONS} r")
-def r1_rule_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a region's type is one that its language's rules extract."""
-    have = F.broadcast(spark.createDataFrame(sorted(set(_REGION_RULES)), "language string, region_type string").withColumn("_known", F.lit(True)))
-    return regions_table(spark, d).join(have, ["language", "region_type"], "left").select("region_id", F.coalesce("_known", F.lit(False)).alias("known"))
-
-
 def _extracted(spark: SparkSession, d: str, name: str = "default") -> tuple[DataFrame, DataFrame, DataFrame, list]:
     f = sources.scan_table(read(spark, d, "source_files"))
     rs = rules.build_rules(name)
-    nodes = cut(sources.parsed(sources.parse_files(f, tolerant=True)))
+    nodes = cut(sources.parsed(sources.parse_files(f, tolerant=True, texts=rules.text_kinds(rs))))
     return f, nodes, regions.extract(nodes, f, rs), rs
 
 
@@ -175,12 +185,6 @@ def r2_extract_regions(spark: SparkSession, d: str) -> DataFrame:
     return _extracted(spark, d)[2].select("region_id", "path", "language", "region_type", "region_name", "start_line", "end_line")
 
 
-@query(f"select language, count(*) filter (where region_name is null or region_name = 'anonymous') as n_anonymous, count(*) as n_regions from {REGIONS} group by language")
-def r4_region_names(spark: SparkSession, d: str) -> DataFrame:
-    anon = F.coalesce("region_name", F.lit("anonymous")) == "anonymous"
-    return regions_table(spark, d).groupBy("language").agg(F.sum(anon.cast("long")).alias("n_anonymous"), F.count(F.lit(1)).alias("n_regions"))
-
-
 _PARAGRAPHS = r"""
 with l as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null)),
 b as (select *, not regexp_matches(line, '[^ \t\n\x0B\f\r]') as blank from l),
@@ -239,7 +243,15 @@ def r13_fence_language(spark: SparkSession, d: str) -> DataFrame:
     return l.select("doc_id", regions.fence_language(info).alias("language")).groupBy("doc_id", "language").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in dict.fromkeys(_REGION_RULES)) + ") t(language, region_type)")
+#: What each language's regions are, written out once more by hand.
+_KINDS = """python=function_definition class_definition;javascript=function method_definition class_declaration;typescript=function method_definition class_declaration;
+jsx=function method_definition class_declaration jsx_expression;tsx=function method_definition class_declaration jsx_expression;go=function_declaration method_declaration type_declaration;
+java=method_declaration class_declaration;kotlin=function_declaration class_declaration;bash=function_definition if_statement while_statement;css=rule_set media_statement keyframes_statement;
+sql=create_table select insert delete;yaml=block_mapping_pair block_sequence;rust=function_item impl_item struct_item enum_item trait_item macro_definition;
+html=head body;markdown=heading code_block;astro=frontmatter template"""
+
+
+@query(f"select split_part(x, '=', 1) as language, unnest(string_split(split_part(x, '=', 2), ' ')) as region_type from (select unnest(string_split(replace('{_KINDS}', chr(10), ''), ';')) as x)")
 def r14_extraction_listing(spark: SparkSession, d: str) -> DataFrame:
     t = rules.rules_table(spark, rules.region_rules())
     return t.select(F.explode("languages").alias("language"), F.col("params")["region_type"].alias("region_type")).distinct()
@@ -248,6 +260,14 @@ def r14_extraction_listing(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ rules and shingles over text trees
 _R = rules.Rule
 _M = rules.Match
+_X = rules.Action.EXTRACT
+TEXT_REGIONS = [
+    _R("paragraphs", ("*",), _M(("paragraph",)), _X, {"region_type": "paragraph"}),
+    _R("lines", ("text",), _M(("line",), parent=("paragraph",), grandparent=("document",)), _X, {"region_type": "line"}),
+    _R("quotes", ("text", "go"), _M(("line",), text=("match", r"^> ")), _X, {"region_type": "section"}),
+    _R("other languages", ("go",), _M(("line",)), _X, {"region_type": "body"}),
+    _R("other parents", ("text",), _M(("line",), parent=("document",)), _X, {"region_type": "body"}),
+]
 TEXT_RULES = [
     _R("quoted lines", ("*",), _M(("line",), text=("match", r"^> ")), rules.Action.REMOVE),
     _R("words", ("*",), _M(("word",), text=("match", r"^[A-Z]")), rules.Action.ANONYMIZE, {"prefix": "NAME"}),
@@ -261,9 +281,33 @@ def _text(spark: SparkSession, d: str) -> DataFrame:
     return shingles.with_parents(n)
 
 
+def _text_regions(spark: SparkSession, d: str, found: list) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the documents, whose capitalised words are identifiers, and their regions."""
+    n = sources.text_nodes(read(spark, d, "documents"))
+    n = n.withColumn("kind", F.when((F.col("kind") == "word") & F.col("text").rlike("^[A-Z]"), "identifier").otherwise(F.col("kind")))
+    f = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"))
+    return n, regions.extract(n, f, found)
+
+
 _WORDS = _PARAGRAPHS + r"""
 w as (select doc_id, para, i, line, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as k from (select *, regexp_extract_all(line, '[^ \t\n\x0B\f\r]+') as ws from g)),
 """
+_NAME_OF = "coalesce(list_filter(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+'), lambda x: regexp_matches(x, '^[A-Z]'))[1], 'anonymous')"
+
+
+@query(_PARAGRAPHS + f"""
+c as (select doc_id, 'paragraph' as region_type, 'anonymous' as region_name, min(i) as s, max(i) as e, 1 as k from g group by doc_id, para
+  union all select doc_id, 'line', {_NAME_OF}, i, i, 2 from g
+  union all select doc_id, 'section', {_NAME_OF}, i, i, 0 from g where regexp_matches(line, '^> ')),
+o as (select *, row_number() over (partition by doc_id, s, e order by k) as n from c)
+select doc_id, region_type, region_name, s::int as start_line, e::int as end_line from o where n = 1""")
+def r1_text_regions(spark: SparkSession, d: str) -> DataFrame:
+    """R1 to R4, R9 and R10 over the documents' trees: rules by language, parent and text,
+    names, and one region per range, where an explicit type beats others."""
+    r = _text_regions(spark, d, TEXT_REGIONS)[1]
+    return r.select(F.col("path").cast("long").alias("doc_id"), "region_type", "region_name", "start_line", "end_line")
+
+
 _VAL = "left(replace(replace(replace({}, '→', '->'), chr(10), '\\n'), chr(9), '\\t'), 50)"
 
 
@@ -293,22 +337,41 @@ def n2_anonymize(spark: SparkSession, d: str) -> DataFrame:
 @query(_WORDS + r"""
 c as (select doc_id, word, dense_rank() over (partition by doc_id order by min(i * 1000000 + k)) as number from w where not regexp_matches(line, '^> ') and regexp_matches(word, '^[A-Z]') group by doc_id, word),
 v as (select w.doc_id, case when regexp_matches(w.word, '^[0-9]+$') then '<NUM>' when c.number is not null then 'NAME_' || c.number else """ + _VAL.format("w.word") + r""" end as value
-  from w left join c on c.doc_id = w.doc_id and c.word = w.word where not regexp_matches(line, '^> '))
-select doc_id, 'word(' || value || ')' as rep, count(*) as n from v group by all""")
+  from w left join c on c.doc_id = w.doc_id and c.word = w.word where not regexp_matches(line, '^> ')),
+u as (select doc_id, 'word(' || value || ')' as rep from v union all select doc_id, 'line' from g where not regexp_matches(line, '^> ')
+  union all select doc_id, '<PAR>' from (select distinct doc_id, para from g) union all select doc_id, 'document' from documents where text is not null)
+select doc_id, rep, count(*) as n from u group by all""")
 def e9_apply_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Representations of all words under a ruleset."""
+    """Representations of all nodes under a ruleset."""
     n = shingles.normalised(_text(spark, d), TEXT_RULES)
-    return n.filter("kind = 'word'").groupBy(F.col("tree_id").alias("doc_id"), "rep").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(F.col("tree_id").alias("doc_id"), "rep").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_WORDS + r"""
-x as (select doc_id, 'paragraph→line→word(' || """ + _VAL.format("word") + r""" || ')' as content from w
-  union all select doc_id, 'document→paragraph→line' from g)
-select doc_id, content, count(*) as n from x group by all""")
+x as (select doc_id, i, 'paragraph→line→word(' || """ + _VAL.format("word") + r""" || ')' as content from w
+  union all select doc_id, i, 'document→paragraph→line' from g)
+select doc_id, content, count(*) as n, min(i)::int as first_line, max(i)::int as last_line from x group by all""")
 def n5_path_kgrams(spark: SparkSession, d: str) -> DataFrame:
     """Vertical 3-grams of the documents' trees."""
     n = shingles.normalised(_text(spark, d), [])
-    return shingles.path_kgrams(n, SETTINGS.k).groupBy(F.col("region_id").alias("doc_id"), "content").agg(F.count(F.lit(1)).alias("n"))
+    return shingles.path_kgrams(n, SETTINGS.k).groupBy(F.col("region_id").alias("doc_id"), "content").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
+
+
+@query(_WORDS + r"""
+v0 as (select * from w where not regexp_matches(line, '^> ')),
+c as (select doc_id, para, word, dense_rank() over (partition by doc_id, para order by min(i * 1000000 + k)) as number from v0 where regexp_matches(word, '^[A-Z]') group by doc_id, para, word),
+v as (select v0.doc_id, v0.para, v0.i, v0.k, '<PAR>→line→' || case when c.number is not null then 'identifier(NAME_' || c.number else 'word(' || case when regexp_matches(v0.word, '^[0-9]+$') then '<NUM>' else """ + _VAL.format("v0.word") + r""" end end || ')' as content
+  from v0 left join c using (doc_id, para, word)),
+p as (select doc_id, para, min(i)::int as start_line from g group by doc_id, para)
+select doc_id, p.start_line, count(*) as n_shingles, sum(i)::bigint as lines, md5(string_agg(content, chr(10) order by i, k)) as digest from v join p using (doc_id, para) group by doc_id, para, p.start_line""")
+def n7_text_shingles(spark: SparkSession, d: str) -> DataFrame:
+    """Shingles of every paragraph under a ruleset, in order, with their lines (N5 to N8):
+    names are numbered anew in each region, and its root has no parent there."""
+    own = [_R("words", ("text",), _M(("identifier",)), rules.Action.ANONYMIZE, {"prefix": "NAME"}) if r.action is rules.Action.ANONYMIZE else r for r in TEXT_RULES]
+    n, found = _text_regions(spark, d, TEXT_REGIONS[:1])
+    s = shingles.shingle_regions(n, cut(found), own, SETTINGS.k).groupBy("region_id").agg(F.count(F.lit(1)).alias("n_shingles"), F.sum("start_line").alias("lines"), F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("s"))
+    s = s.join(found.select("region_id", F.col("path").cast("long").alias("doc_id"), "start_line"), "region_id")
+    return s.select("doc_id", "start_line", "n_shingles", "lines", F.md5(F.array_join(F.transform("s", lambda x: x["content"]), "\n")).alias("digest"))
 
 
 @query()
@@ -324,14 +387,25 @@ def n9_content_list(spark: SparkSession, d: str) -> DataFrame:
     return l.select("region_id", F.md5(F.array_join("contents", "\n")).alias("digest"), F.size("contents").cast("long").alias("n"))
 
 
-@query("select name, action, languages, kinds from (values " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in (r.name, r.action.value, ",".join(r.languages), " ".join(r.match.kinds))) + f", {i})" for i, r in enumerate(rules.ruleset("loose"))) + ") t(name, action, languages, kinds, i)")
+#: How many rules remove, replace a type, replace a value and anonymise in the loose set,
+#: by language, written out by hand; what the JavaScript relatives share counts for each.
+_LOOSE = "python 6 3 3 1,javascript 2 2 3 1,typescript 2 2 3 1,tsx 2 2 3 1,jsx 2 2 3 1,go 3 2 5 2,java 2 0 3 1,kotlin 2 0 3 1,bash 1 2 4 0,css 1 2 2 0,html 2 1 2 0,sql 1 1 1 1,yaml 1 0 2 0,astro 1 0 2 0,rust 8 2 5 1"
+
+
+@query(f"""
+with x as (select string_split(unnest(string_split('{_LOOSE}', ',')), ' ') as v),
+n as (select v[1] as language, unnest(['remove', 'replace_node_type', 'replace_value', 'anonymize']) as action, unnest(v[2:5])::bigint as n_rules from x),
+e as (select split_part(x, '=', 1) as language, string_split(split_part(x, '=', 2), ' ') as t from (select unnest(string_split(replace('{_KINDS}', chr(10), ''), ';')) as x))
+select * from n where n_rules > 0 union all select language, 'extract_region', len(t) + case when language = 'markdown' then 1 else 0 end from e""")
 def g12_rule_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Rules of the loose ruleset."""
-    t = rules.rules_table(spark, rules.ruleset("loose"))
-    return t.select("name", "action", F.array_join("languages", ",").alias("languages"), F.array_join("kinds", " ").alias("kinds"))
+    """Rules of the loose ruleset by language and action."""
+    t = rules.rules_table(spark, rules.ruleset("loose")).select(F.explode("languages").alias("language"), "action")
+    return t.groupBy("language", "action").agg(F.count(F.lit(1)).alias("n_rules"))
 
 
-@query()
+@query("""
+select * from (values ('filtered', 'remove', 5::bigint), ('filtered', 'replace_value', 2), ('filtered', 'extract_region', 1),
+  ('added', 'extract_region', 50), ('excluded', 'extract_region', 47), ('specified', 'extract_region', 1), ('specified', 'remove', 2)) t(name, action, n_rules)""")
 def b7_build_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules left by filters, additions and exclusions."""
     cases = {
@@ -339,6 +413,8 @@ def b7_build_rules(spark: SparkSession, d: str) -> DataFrame:
         "added": rules.build_rules("none", additional={"go": ["if_statement", "for_statement"]}),
         "excluded": rules.build_rules("loose", excluded={"css": ["rule_set"]}),
     }
+    spec = {"rulesets": {"base": {"rules": [{"name": "notes", "languages": ["go"], "kinds": ["comment"], "action": "remove"}, {"name": "heads", "languages": ["*"], "kinds": ["line"], "parent": ["paragraph"], "action": "extract_region"}]}, "own": {"extends": "base", "rules": [{"name": "marks", "languages": ["go"], "kinds": ["identifier"], "field": "name", "text": ["eq", "x"], "action": "remove"}]}}}
+    cases["specified"] = rules.load_rules(spec, "own")
     rows = [(k, r.action.value) for k, rs in cases.items() for r in rs]
     return spark.createDataFrame(rows, "name string, action string").groupBy("name", "action").agg(F.count(F.lit(1)).alias("n_rules"))
 
@@ -380,44 +456,43 @@ def m3_jaccard_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 _B, _ROWS = lsh.shape(SETTINGS.lsh_threshold)
 _BAND = f"""
+reg as {REGIONS},
 s as (select region_id, sig from {SIGS} where len(sig) >= {_B * _ROWS}),
-rep as (select min(region_id) as region_id, sig from s group by sig),
-band as (select region_id, unnest(range(0, {_B})) as band, sig from rep),
+rep as (select region_id, min(region_id) over (partition by sig) as rep from {SIGS} where len(sig) > 0),
+band as (select region_id, unnest(range(0, {_B})) as band, sig from s),
 key as (select region_id, band, md5(array_to_string(list_slice(sig, band * {_ROWS} + 1, band * {_ROWS} + {_ROWS}), ',')) as bucket from band),
 cand as (select distinct x.region_id as a, y.region_id as b from key x join key y on x.band = y.band and x.bucket = y.bucket and x.region_id < y.region_id),
-est as (select a, b, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 128.0 as estimate from cand join rep x on x.region_id = a join rep y on y.region_id = b),
-same as (select r.region_id as a, s.region_id as b, 1.0 as estimate from s join rep r on r.sig = s.sig where s.region_id <> r.region_id),
-reg as {REGIONS},
-both_ as (select * from est where estimate >= {SETTINGS.pair_threshold} union all select * from same),
-edge as (select e.a, e.b, e.estimate from both_ e join reg x on x.region_id = a join reg y on y.region_id = b
-  where not (x.path = y.path and x.start_line <= y.end_line and y.start_line <= x.end_line)),
+est as (select a, b, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 128.0 as estimate from cand join s x on x.region_id = a join s y on y.region_id = b),
+edge as (select e.a, e.b, e.estimate from est e join reg x on x.region_id = a join reg y on y.region_id = b
+  where estimate >= {SETTINGS.pair_threshold} and not (x.path = y.path and x.start_line <= y.end_line and y.start_line <= x.end_line)),
 """
 
 
 @query(f"with {_BAND} o as (select band, bucket, count(*) as n from key group by all) select band::int as band, bucket, n from o")
 def l2_band_buckets(spark: SparkSession, d: str) -> DataFrame:
-    k = lsh.bands(lsh.representatives(signature_table(spark, d)), _B, _ROWS)
+    k = lsh.bands(signature_table(spark, d), _B, _ROWS)
     return k.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_BAND} o as (select * from cand) select a, b from o")
+@query(f"with {_BAND} u as (select a as x from cand union all select b from cand), n as (select x, count(*) as n from u group by x) select region_id, rep, coalesce(n, 0) as n_candidates from s join rep using (region_id) left join n on x = region_id")
 def l3_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs between representatives of equal signatures."""
-    return lsh.candidates(signature_table(spark, d), SETTINGS.lsh_threshold)
+    """Candidates of every region: its class, and how many other regions share a bucket
+    with it, over all regions."""
+    return lsh.candidate_counts(signature_table(spark, d), SETTINGS.lsh_threshold)
 
 
 @query(f"""
 select distinct x.region_id as a, y.region_id as b from {REGIONS} x join {REGIONS} y on x.path = y.path and x.region_id < y.region_id and x.start_line <= y.end_line and y.start_line <= x.end_line""")
 def l4_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one file's regions that share a line, so can be no pair."""
-    r = regions_table(spark, d).select("region_id", "path", "start_line", "end_line")
-    x, y = r.toDF("a", "path_a", "sa", "ea"), r.toDF("b", "path_b", "sb", "eb")
-    return x.join(y, (F.col("path_a") == F.col("path_b")) & (F.col("a") < F.col("b")) & X.overlaps("path_a", "sa", "ea", "path_b", "sb", "eb")).select("a", "b").distinct()
+    return pairing.overlapping(regions_table(spark, d))
 
 
-@query(f"with {_BAND} o as (select * from edge) select a, b, round(estimate, 6)::double as estimate from o")
+@query(f"with {_BAND} u as (select a as x from edge union all select b from edge) select region_id, rep, count(*) as n_links from u join rep on x = region_id group by region_id, rep")
 def l5_edges(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.links(signature_table(spark, d), regions_table(spark, d), SETTINGS).select("a", "b", F.round("estimate", 6).alias("estimate"))
+    """Similar regions that share no line: each region's class and its number of pairs,
+    over all regions (L3 to L5)."""
+    return lsh.link_counts(signature_table(spark, d), regions_table(spark, d), SETTINGS)
 
 
 _COMP = """
@@ -454,7 +529,7 @@ def l12_ranked_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups that pass the group filter, by falling similarity."""
     g, _ = lsh.similar_groups(signature_table(spark, d), regions_table(spark, d), SETTINGS)
     g = g.select("group_id", "size", F.round("similarity", 6).alias("similarity"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("similarity"), "group_id")))
+    return ranked(g, [F.desc("similarity"), F.col("group_id")])
 
 
 @query(f"select s.region_id from {SIGS} s join {REGIONS} r using (region_id) where r.end_line - r.start_line + 1 >= 5")
@@ -491,16 +566,31 @@ def v2_region_lookup(spark: SparkSession, d: str) -> DataFrame:
     return l.select("region_id", F.md5(F.array_join("contents", "\n")).alias("digest"))
 
 
-@query("select * from (values " + ", ".join(f"('{n}', '{x}', '{t}', {str(rules.anonymises_name(rules.ruleset(n), x, t)).lower()})" for n in ("none", "default", "loose") for x in rules.ALL for t in verify.GATED) + ") t(ruleset, language, region_type, anonymised)")
+@query(f"""
+select ruleset, language, region_type, ruleset <> 'none' and case region_type when 'class' then language in ('python', 'javascript', 'typescript', 'tsx', 'jsx', 'java', 'kotlin')
+  else language in ('python', 'javascript', 'typescript', 'tsx', 'jsx', 'go') end as anonymised
+from (select unnest(['none', 'default', 'loose']) as ruleset), (select split_part(unnest(string_split(replace('{_KINDS}', chr(10), ''), ';')), '=', 1) as language), (select unnest(['function', 'class', 'method']) as region_type)""")
 def v5_name_anonymised(spark: SparkSession, d: str) -> DataFrame:
     """Whether a ruleset hides names of functions, classes and methods (V4, V5)."""
     rows = [(n, x, t, rules.anonymises_name(rules.build_rules(n), x, t)) for n in ("none", "default", "loose") for x in rules.ALL for t in verify.GATED]
     return spark.createDataFrame(rows, "ruleset string, language string, region_type string, anonymised boolean")
 
 
-@query()
+#: Bytes in hexadecimal with a blank before each, so that lines can be cut at line feeds.
+LATEST = "(select file_id, source from (select *, row_number() over (partition by file_id order by ingested_at desc nulls last) as n from source_files) where n = 1)"
+HEX = "regexp_replace(hex(source), '(..)', ' \\1', 'g')"
+
+
+@query(f"""
+with f as (select file_id, string_split({HEX}, ' 0A') as ls from {LATEST} where source is not null)
+select region_id, replace(regexp_replace(regexp_replace(ls[start_line], '^( (20|09|0B|0C|0D))+', ''), '( (20|09|0B|0C|0D))+$', ''), ' ', '') as signature
+from {REGIONS} left join f on file_id = tree_id""")
 def v6_signature_lines(spark: SparkSession, d: str) -> DataFrame:
-    """First source line of each region, stripped."""
+    """First source line of each region, stripped, as hexadecimal bytes."""
+    return _signatures(spark, d).select("region_id", F.hex(F.encode("signature", "ISO-8859-1")).alias("signature"))
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
     return verify.signature_lines(regions_table(spark, d), latest(read(spark, d, "source_files").select("file_id", "source", "ingested_at"), ["file_id"], "ingested_at"))
 
 
@@ -564,7 +654,11 @@ def g5_display_order(spark: SparkSession, d: str) -> DataFrame:
     return report.display_order(g, m, r).select("group_id", F.round("similarity", 6).alias("similarity"), F.round("mean_lines", 6).alias("mean_lines"))
 
 
-@query()
+@query(f"""
+with recursive {_BAND} {_COMP} {_MEAN} {_KEPT}
+o as (select group_id, reg.*, row_number() over (partition by group_id order by path, start_line, end_line, region_id) - 1 as ordinal from mem join reg using (region_id))
+select group_id, -1 as ordinal, printf('Similar group (%.1f%%): %d regions', similarity * 100, size) as line from kept
+union all select group_id, ordinal::int, printf('  %s [%d:%d] (%d lines) %s(%s)', path, start_line, end_line, end_line - start_line + 1, coalesce(region_name, 'null'), region_type) from o""")
 def g6_group_display(spark: SparkSession, d: str) -> DataFrame:
     g, m, r = _groups(spark, d)
     return report.display_lines(g, m, r)
@@ -581,11 +675,21 @@ def g10_types_used(spark: SparkSession, d: str) -> DataFrame:
     return regions.types_used(regions_table(spark, d))
 
 
-@query()
+@query(f"""
+with recursive {_BAND} {_COMP} {_MEAN} {_KEPT}
+o as (select group_id, reg.*, row_number() over (partition by group_id order by path, start_line, end_line, region_id) as k from mem join reg using (region_id))
+select group_id, case when similarity >= 0.95 then 'error' when similarity >= 0.85 then 'warning' else 'note' end as level, printf('%d similar regions (%.1f%%)', size, similarity * 100) as message,
+  max(path) filter (where k = 1) as uri, max(start_line) filter (where k = 1)::varchar as start_line, (size - 1)::int as n_related,
+  max(region_type || ': ' || coalesce(region_name, 'null')) filter (where k = 2) as second, max(end_line) filter (where k = 2)::varchar as second_end, size::varchar as group_size
+from o join kept using (group_id) group by group_id, size, similarity""")
 def k2_sarif_results(spark: SparkSession, d: str) -> DataFrame:
-    """One SARIF result per group as JSON (K2, K3)."""
+    """One SARIF result per group as JSON, read again field by field (K2 to K4)."""
     g, m, r = _groups(spark, d)
-    return report.sarif_results(g, m, r)
+    at = lambda path: F.get_json_object("result", path)
+    place = "physicalLocation"
+    return report.sarif_results(g, m, r).select(
+        "group_id", at("$.level").alias("level"), at("$.message.text").alias("message"), at(f"$.locations[0].{place}.artifactLocation.uri").alias("uri"), at(f"$.locations[0].{place}.region.startLine").alias("start_line"),
+        F.json_array_length(at("$.relatedLocations")).alias("n_related"), at("$.relatedLocations[0].message.text").alias("second"), at(f"$.relatedLocations[0].{place}.region.endLine").alias("second_end"), at("$.properties.groupSize").alias("group_size"))
 
 
 @query("select group_id, case when s >= 0.95 then 'error' when s >= 0.85 then 'warning' else 'note' end as level from (select distinct group_id, case when similarity > 1 then similarity / 100 else similarity end as s from similar_groups where similarity is not null)")
@@ -632,11 +736,14 @@ def t1_tokens_by_line(spark: SparkSession, d: str) -> DataFrame:
 def t2_transformed_source(spark: SparkSession, d: str) -> DataFrame:
     """Every source file's lines as the loose rules leave them."""
     f = sources.scan_table(read(spark, d, "source_files"))
-    nodes = sources.parsed(sources.parse_files(f, tolerant=True)).join(f.select(F.col("file_id").alias("tree_id"), F.col("language").alias("shingle_language")), "tree_id")
-    return inspect.transformed_source(nodes, rules.build_rules("loose")).withColumnRenamed("tree_id", "file_id")
+    nodes = sources.parsed(sources.parse_files(f, tolerant=True, texts=rules.text_kinds(rules.build_rules("loose")))).join(f.select(F.col("file_id").alias("tree_id"), F.col("language").alias("shingle_language")), "tree_id")
+    return inspect.transformed_source(nodes, rules.build_rules("loose"), f.select("file_id", "source")).withColumnRenamed("tree_id", "file_id")
 
 
-@query(f"with recursive e as (select distinct regions[1] as a, regions[2] as b from similar_groups where len(regions) = 2 and regions[1] <> regions[2] and similarity between 0.95 and 1), und as (select a as x, b as y from e union select b, a from e), walk as (select x as node, x as seen from und union select w.node, u.y from walk w join und u on u.x = w.seen) select node, min(seen) as component from walk group by node")
+@query("""
+with recursive g as (select list_filter(regions, lambda x: x is not null) as m from similar_groups where regions is not null),
+e as (select distinct list_min(m) as a, unnest(m) as b from g), und as (select a as x, b as y from e where a <> b union select b, a from e where a <> b),
+walk as (select x as node, x as seen from und union select w.node, u.y from walk w join und u on u.x = w.seen) select node, min(seen) as component from walk group by node""")
 def l7_union_find(spark: SparkSession, d: str) -> DataFrame:
     """Components of all matches of earlier runs, whatever their similarity: each row's
     members are linked to its least one."""

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.operators import lsh, minhash, regions, verify
-from graftline.operators.rules import build_rules
+from graftline.operators.rules import build_rules, text_kinds
 from graftline.operators.shingles import shingle_regions
 from graftline.runtime import cut
 from graftline.settings import Settings
@@ -34,25 +35,28 @@ class Detection:
         return [(k, n, s, s / whole) for k, (n, s) in self.stages.items()]
 
 
-def detect_files(files: DataFrame, settings: Settings = Settings()) -> Detection:
+def detect_files(files: DataFrame, settings: Settings = Settings(), progress: Callable[[str, int, float], None] | None = None) -> Detection:
     """Similar regions of files ``(file_id, path, language, source)``.
 
     Stages are cut by checkpoints, so a lost executor costs the tasks it held. Files that
     do not parse, regions under ``min_lines`` and groups under the similarity drop out;
-    no file, region or group leaves empty tables."""
+    no file, region or group leaves empty tables. ``progress`` is told each stage's name,
+    items and seconds as it ends."""
     stages: dict[str, tuple[int, float]] = {}
 
     def stage(name: str, df: DataFrame) -> DataFrame:
         began = time.time()
         df = cut(df)
         stages[name] = (df.count(), time.time() - began)
+        if progress:
+            progress(name, *stages[name])
         return df
 
     rules = build_rules(settings.ruleset, settings.region_filters, settings.additional_regions, settings.excluded_regions)
-    nodes = stage("parse", sources.parsed(sources.parse_files(files, tolerant=True)))
+    nodes = stage("parse", sources.parsed(sources.parse_files(files, tolerant=True, texts=text_kinds(rules))))
     found = stage("extract", regions.at_least(regions.extract(nodes, files, rules), settings.min_lines))
     inner = regions.injections(found, nodes)
-    trees = sources.parsed(sources.parse_files(inner.select(F.col("region_id").alias("file_id"), "language", "source", "line_offset"), tolerant=True))
+    trees = sources.parsed(sources.parse_files(inner.select(F.col("region_id").alias("file_id"), "language", "source", "line_offset"), tolerant=True, texts=text_kinds(rules)))
     if any(r.inject for r in rules):
         trees = cut(trees)
         found = cut(regions.with_injections(found, inner, trees))
@@ -69,6 +73,6 @@ def detect_files(files: DataFrame, settings: Settings = Settings()) -> Detection
     return Detection(files, found, sh, sig, kept, members.join(kept.select("group_id"), "group_id", "left_semi"), stages)
 
 
-def detect(spark: SparkSession, path: str, settings: Settings = Settings()) -> Detection:
+def detect(spark: SparkSession, path: str, settings: Settings = Settings(), progress: Callable[[str, int, float], None] | None = None) -> Detection:
     """Similar regions of a file or of the files under a directory."""
-    return detect_files(sources.scan(spark, path, settings), settings)
+    return detect_files(sources.scan(spark, path, settings), settings, progress)

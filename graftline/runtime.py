@@ -14,12 +14,15 @@ BROADCAST_ROWS = 20_000
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: what the session or its cluster names in
-    ``spark.checkpoint.dir``; a local one is made only where nothing is set."""
+    ``spark.checkpoint.dir``. Where nothing is set, a local one is made for a local master;
+    on a cluster that is an error, since no other machine could read it."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graftline-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -70,6 +73,19 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n", to
     return left.join(hot, on).unionByName(rest.join(cold, on))
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with the number, from 1, of each row in a total ``order``: rows are sorted by
+    ranges and numbered there, behind the numbers of rows in earlier ranges."""
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for part, n in sorted(map(tuple, parts.groupBy("_part").agg(F.count(F.lit(1))).collect())):
+        offsets.append((part, before))
+        before += n
+    at = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(at, "_part").withColumn(name, (own + F.col("_before")).cast("int")).drop("_part", "_before")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -88,4 +104,4 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df if large else df.repartition(n)
 
 
-__all__ = ["BROADCAST_ROWS", "Window", "bounded", "cut", "ensure_checkpoint_dir", "latest", "read", "skew_join", "spread"]
+__all__ = ["BROADCAST_ROWS", "Window", "bounded", "cut", "ensure_checkpoint_dir", "latest", "ranked", "read", "skew_join", "spread"]

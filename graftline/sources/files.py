@@ -15,7 +15,7 @@ from graftline.runtime import latest, spread
 from graftline.settings import Settings
 from graftline.sources import ignore
 from graftline.sources.languages import detect_language, glob_filter, in_directory_scan
-from graftline.sources.tree import NODE_COLUMNS, NODE_SCHEMA, rows
+from graftline.sources.tree import NODE_COLUMNS, NODE_SCHEMA, TEXT_KINDS, rows
 
 
 def read_binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -34,8 +34,11 @@ def scan_directory(spark: SparkSession, target: str, settings: Settings = Settin
     f = read_binary(spark, target, glob_filter())
     f = f.withColumn("rel_path", ignore.relative(F.col("path"), F.lit(target))).filter(in_directory_scan())
     f = f.filter(~ignore.ignored(F.col("rel_path"), list(settings.ignore_patterns)))
-    for d, patterns in ignore.discover(target, settings.ignore_files).items():
-        f = f.filter(~ignore.ignored(ignore.relative(F.col("path"), F.lit(d)), patterns))
+    base = lambda d: "" if d == target else os.path.relpath(d, target).replace(os.sep, "/")
+    rows = [(base(d), p) for d, patterns in ignore.discover(target, settings.ignore_files).items() for p in patterns]
+    if rows:
+        rules = spark.createDataFrame(rows, "base string, pattern string").withColumn("_all", F.lit(1))
+        f = ignore.drop_by_directory(f.withColumn("_all", F.lit(1)), rules, "_all").drop("_all")
     return f.select(F.xxhash64("path").alias("file_id"), "path", "rel_path", detect_language().alias("language"), "source")
 
 
@@ -64,7 +67,7 @@ def scan_table(source_files: DataFrame) -> DataFrame:
     return f.select("file_id", "path", "rel_path", detect_language().alias("language"), "source").filter("language is not null")
 
 
-def _parser(batches: Iterator[pa.RecordBatch], tolerant: bool = False) -> Iterator[pa.RecordBatch]:
+def _parser(batches: Iterator[pa.RecordBatch], tolerant: bool = False, texts: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
     from graftline.sources.frontends import parse
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
@@ -73,20 +76,22 @@ def _parser(batches: Iterator[pa.RecordBatch], tolerant: bool = False) -> Iterat
         for tree_id, lang, source, offset in zip(*(c.to_pylist() for c in b.columns)):
             try:
                 text = (source or b"").decode("utf-8", "ignore").lstrip("﻿").replace("\r\n", "\n")
-                got = [(*r, None) for r in rows(parse(text, lang, tolerant), text, tree_id, offset or 0)]
+                got = [(*r, None) for r in rows(parse(text, lang, tolerant), text, tree_id, offset or 0, texts)]
             except (ValueError, SyntaxError, RecursionError) as e:
                 got = [(tree_id, *[None] * (len(NODE_COLUMNS) - 1), f"{type(e).__name__}: {e}")]
             cols = list(zip(*got))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def parse_files(files: DataFrame, tolerant: bool = False) -> DataFrame:
+def parse_files(files: DataFrame, tolerant: bool = False, texts: frozenset[str] | None = None) -> DataFrame:
     """``nodes`` of files ``(file_id, language, source[, line_offset])``, with one row that
     has just ``parse_error`` for each file that does not parse. A ``tolerant`` parse keeps
-    the tree of a file with syntax errors and marks them by nodes of kind ``ERROR``."""
+    the tree of a file with syntax errors and marks them by nodes of kind ``ERROR``.
+    Every node carries its text, or, with ``texts`` (``rules.text_kinds``), only leaves,
+    the kinds that the built-in rules read and those named."""
     offset = F.col("line_offset") if "line_offset" in files.columns else F.lit(0)
     f = files.select("file_id", "language", F.col("source").cast("binary").alias("source"), offset.cast("int").alias("line_offset"))
-    return spread(f).mapInArrow(partial(_parser, tolerant=tolerant), NODE_SCHEMA + ", parse_error string")
+    return spread(f).mapInArrow(partial(_parser, tolerant=tolerant, texts=None if texts is None else TEXT_KINDS | texts), NODE_SCHEMA + ", parse_error string")
 
 
 def parsed(nodes: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import io
 import keyword
 import re
 import tokenize
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 from graftline.sources.tree import Node
@@ -48,19 +49,21 @@ def parse_python(source: str) -> Node:
             continue
         a, b = starts[t.start[0] - 1] + t.start[1], starts[t.end[0] - 1] + t.end[1]
         toks.append(_py_leaf(t, a, b))
-    opens = {n.start: n for n in toks if n.kind == "("}
+    opens, closes, stack = [], {}, []
+    for n in toks:
+        if n.kind == "(":
+            opens.append(n.start)
+            stack.append(n.start)
+        elif n.kind == ")" and stack:
+            closes[stack.pop()] = n.end
+    defs = [t.start for t in toks if t.kind == "def"]
 
     def paren(after: int, end: int, kind: str, kids: list[Node]) -> Node | None:
-        i = next((s for s in sorted(opens) if after <= s < end), None)
-        if i is None:
+        k = bisect_left(opens, after)
+        if k == len(opens) or opens[k] >= end or opens[k] not in closes:
             return None
-        depth = 0
-        for n in toks:
-            if n.start >= i:
-                depth += {"(": 1, ")": -1}.get(n.kind, 0)
-                if not depth and n.kind == ")":
-                    return Node(kind, i, n.end, [k for k in kids if i <= k.start and k.end <= n.end])
-        return None
+        i, j = opens[k], closes[opens[k]]
+        return Node(kind, i, j, [x for x in kids if i <= x.start and x.end <= j])
 
     def build(n: ast.AST) -> list[Node]:
         kids: list[Node] = []
@@ -78,7 +81,8 @@ def parse_python(source: str) -> Node:
             return kids
         a, b = at(n.lineno, n.col_offset), at(n.end_lineno, n.end_col_offset)
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            head = next((t.start for t in toks if t.start >= a and t.kind == "def"), a)
+            k = bisect_left(defs, a)
+            head = defs[k] if k < len(defs) else a
             p = paren(head, b, "parameters", kids)
             kids = [k for k in kids if not (p and p.start <= k.start and k.end <= p.end)] + ([p] if p else [])
         if isinstance(n, ast.Call):
@@ -87,20 +91,38 @@ def parse_python(source: str) -> Node:
         return [Node(kind, a, b, sorted(kids, key=lambda k: k.start))]
 
     root = Node("module", 0, len(source), [k for s in tree.body for k in build(s)])
-    for t in toks:
-        cur = root
-        while True:
-            nxt = next((k for k in cur.kids if k.start <= t.start and t.end <= k.end and not (k.start == t.start and k.end == t.end and not k.kids and k.kind == t.kind)), None)
-            if nxt is None or nxt.kind in ("string", "identifier"):
-                break
-            cur = nxt
-        if t.kind == "identifier" and cur.kind in ("function_definition", "class_definition") and not any(k.field == "name" for k in cur.kids):
-            t.field = "name"
-        cur.kids.append(t)
-        cur.kids.sort(key=lambda k: (k.start, -k.end))
+    hang(root, toks)
     return root
 
 
+def hang(root: Node, toks: list[Node]) -> None:
+    """Put each token under the deepest node that holds it, in one sweep per node: both the
+    tokens and a node's children are in order."""
+    todo = [(root, toks)]
+    while todo:
+        cur, own = todo.pop()
+        kids = sorted(cur.kids, key=lambda k: (k.start, -k.end))
+        mine: list[Node] = []
+        below: dict[int, list[Node]] = {}
+        i = 0
+        for t in own:
+            while i < len(kids) and kids[i].end < t.end:
+                i += 1
+            k = i
+            while k < len(kids) and kids[k].start <= t.start and (kids[k].end < t.end or (kids[k].start == t.start and kids[k].end == t.end and not kids[k].kids and kids[k].kind == t.kind)):
+                k += 1
+            if k < len(kids) and kids[k].start <= t.start and t.end <= kids[k].end and kids[k].kind not in ("string", "identifier"):
+                below.setdefault(k, []).append(t)
+            else:
+                mine.append(t)
+        if cur.kind in ("function_definition", "class_definition") and not any(k.field == "name" for k in kids):
+            name = next((t for t in mine if t.kind == "identifier"), None)
+            if name is not None:
+                name.field = "name"
+        cur.kids = sorted([*kids, *mine], key=lambda k: (k.start, -k.end)) if mine else kids
+        todo += [(kids[k], v) for k, v in below.items()]
+
+
 #: Tokens of a source that the grammar may not take, and words that begin a
 #: statement and stand in no expression, so that they end one whose bracket is left open.
 _PY_LEX = re.compile(

@@ -17,11 +17,23 @@ class Node:
         self.kind, self.start, self.end, self.kids, self.field = kind, start, end, kids or [], field
 
 
-def rows(root: Node, source: str, tree_id: int, line_offset: int = 0) -> list[tuple]:
-    """Pre-order rows of a tree, without recursion."""
+#: Kinds of inner nodes whose text the built-in rules, names or injections read.
+TEXT_KINDS = frozenset("attribute call start_tag object_reference interpolated_identifier string info_string code_fence_content frontmatter_js_block lifetime".split())
+
+
+def rows(root: Node, source: str, tree_id: int, line_offset: int = 0, texts: frozenset[str] | None = None) -> list[tuple]:
+    """Pre-order rows of a tree, without recursion. With ``texts``, only leaves
+    and these kinds carry their text, so that a source is not repeated at every level; what
+    lies under another node can be cut out of the source by its bytes."""
     breaks = [i for i, c in enumerate(source) if c == "\n"]
-    ascii_ = source.isascii()
-    pos = (lambda i: i) if ascii_ else (lambda i: len(source[:i].encode("utf-8", "surrogatepass")))
+    if source.isascii():
+        pos = lambda i: i
+    else:
+        width = [0]
+        for c in source:
+            o = ord(c)
+            width.append(width[-1] + (1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4))
+        pos = lambda i: width[min(i, len(source))]
     line = lambda i: bisect_right(breaks, i - 1) + 1 + line_offset
     out: list[list] = []
     stack: list[tuple[Node, int | None, int]] = [(root, None, 1)]
@@ -29,7 +41,7 @@ def rows(root: Node, source: str, tree_id: int, line_offset: int = 0) -> list[tu
         node, parent, depth = stack.pop()
         seq = len(out)
         last = max(node.start, node.end - 1)
-        out.append([tree_id, seq, parent, seq, depth, node.kind, node.field, len(node.kids), source[node.start : node.end], line(node.start), line(last), pos(node.start), pos(node.end)])
+        out.append([tree_id, seq, parent, seq, depth, node.kind, node.field, len(node.kids), source[node.start : node.end] if texts is None or not node.kids or node.kind in texts else "", line(node.start), line(last), pos(node.start), pos(node.end)])
         stack += [(k, seq, depth + 1) for k in reversed(node.kids)]
     for r in reversed(out):
         if r[2] is not None:

@@ -243,7 +243,9 @@ def test_union_find_takes_every_match(spark, tmp_path):
 def test_overlapping_regions_form_no_edge(spark):
     s = spark.createDataFrame([(i, [1] * 128) for i in (1, 2, 3)] + [(4, [])], "region_id long, sig array<long>")
     r = spark.createDataFrame([(1, "p", 1, 5), (2, "p", 4, 9), (3, "q", 1, 5), (4, "q", 7, 9)], "region_id long, path string, start_line int, end_line int")
-    assert [tuple(x)[:2] for x in lsh.edges(s, r, Settings()).collect()] == [(1, 3)]
+    assert {tuple(x)[:2] for x in lsh.links(s, r, Settings()).collect()} == {(1, 3), (2, 3)}
+    assert {(x["region_id"], x["n_links"]) for x in lsh.link_counts(s, r, Settings()).collect()} == {(1, 1), (2, 1), (3, 2)}
+    assert {(x["region_id"], x["n_candidates"]) for x in lsh.candidate_counts(s, 0.5).collect()} == {(1, 2), (2, 2), (3, 2)}
 
 
 def test_components_against_union_find(spark):
@@ -353,3 +355,72 @@ def test_examples_queries_run(spark):
 
     assert set(SQL) <= set(QUERIES)
     assert QUERIES["s10_parse_path"](spark, "").count() == 5
+
+
+def test_transformed_source_keeps_columns_and_indentation(spark):
+    from graftline.operators import inspect
+    from graftline.operators.rules import build_rules
+    from graftline.sources import files as sources
+
+    text = "import os\n\ndef f(a):\n    if a:\n\treturn 'x'\n    return a\n".replace("\n\treturn", "\n        return")
+    df = spark.createDataFrame([(1, "python", text.encode()), (2, "python", b"x = '\xff'\n")], "file_id long, language string, source binary")
+    n = sources.parsed(sources.parse_files(df, tolerant=True)).withColumn("shingle_language", F.lit("python"))
+    got = {(r["tree_id"], r["line"]): r["text"] for r in inspect.transformed_source(n, build_rules("default"), df.select("file_id", "source")).collect()}
+    assert got[1, 3].startswith("def FUNC") and got[1, 4].startswith("    if") and got[1, 5].startswith("        return") and (1, 1) not in got and (2, 1) in got
+    both = {(r["tree_id"], r["line"]): (r["source"], r["text"]) for r in inspect.comparison(n, build_rules("default"), df.select("file_id", "source")).collect()}
+    assert both[1, 1] == ("import os", None) and both[1, 6][0] == "    return a"
+
+
+def test_rules_of_languages_follow_those_for_all(spark):
+    from graftline.operators import shingles
+    from graftline.operators.rules import Action, Match, Rule
+
+    late = [Rule("own", ("go",), Match(("word",)), Action.REPLACE_VALUE, {"value": "OWN"}), Rule("all", ("*",), Match(("word",)), Action.REPLACE_VALUE, {"value": "ALL"})]
+    n = spark.createDataFrame([(1, 0, 0, 0, "word", "x", "go"), (2, 0, 0, 0, "word", "x", "java")], "region_id long, seq int, end_seq int, n_children int, kind string, text string, shingle_language string")
+    assert {r["region_id"]: r["rep"] for r in shingles.normalised(n, late).collect()} == {1: "word(OWN)", 2: "word(ALL)"}
+
+
+def test_rules_from_a_mapping_state_whole_patterns():
+    from graftline.operators.rules import load_rules, parse_rule
+
+    spec = {"name": "n", "languages": ["go"], "kinds": ["identifier"], "action": "anonymize", "parent": ["call"], "grandparent": ["block"], "field": "name", "text": ["match", "^x"], "has": ["call", "y"], "params": {"prefix": "P"}}
+    r = parse_rule(spec)
+    assert (r.match.parent, r.match.grandparent, r.match.field, r.match.text, r.match.has, r.params) == (("call",), ("block",), "name", ("match", "^x"), ("call", "y"), {"prefix": "P"})
+    for bad in ({**spec, "text": ["like", "x"]}, {**spec, "odd": 1}, {**spec, "has": ["call"]}, {k: v for k, v in spec.items() if k != "kinds"}):
+        with pytest.raises(ValueError):
+            parse_rule(bad)
+    with pytest.raises(ValueError):
+        load_rules({"rulesets": {"a": {"extends": "b"}, "b": {"extends": "a"}}})
+    with pytest.raises(ValueError):
+        load_rules({"rulesets": {"a": {"extends": "none"}}}, "a")
+
+
+def test_ranked_numbers_all_rows(spark):
+    from graftline.runtime import ranked
+
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(20) / 20) for i in range(300)]
+    got = {r["k"]: r["place"] for r in ranked(spark.createDataFrame(rows, "k long, s double"), [F.desc("s"), F.col("k")]).collect()}
+    assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+
+
+def test_bucket_pairs_and_overlaps_against_brute_force(spark):
+    from graftline.operators.pairing import bucket_pairs, overlapping
+
+    rng = random.Random(6)
+    at = [(i, rng.randrange(6)) for i in range(60)] + [(i, 9) for i in range(25)]
+    want = {(a, b) for a, x in at for b, y in at if x == y and a < b}
+    assert {tuple(r) for r in bucket_pairs(spark.createDataFrame(at, "region_id long, bucket long"), block=4).collect()} == want
+    r = [(i, rng.choice("pq"), s := rng.randrange(1, 300), s + rng.choice([0, 3, 70, 200])) for i in range(80)] + [(90, None, 1, 9), (91, "p", None, 4), (92, "p", 9, 3)]
+    want = {(a, b) for a, p, s, e in r[:80] for b, q, t, f in r[:80] if a < b and p == q and s <= f and t <= e}
+    assert {tuple(x) for x in overlapping(spark.createDataFrame(r, "region_id long, path string, start_line int, end_line int")).collect()} == want
+
+
+def test_every_kind_has_its_name_check(spark):
+    """However many kinds of regions there are, and without a language."""
+    from graftline.operators.rules import ruleset
+    from graftline.operators.verify import names_checked
+
+    rows = [("python", "function"), ("go", "class"), ("java", "class"), (None, "method"), ("x" * 9, "function"), ("python", "heading"), ("python", None)]
+    df = spark.createDataFrame(rows, "language string, region_type string")
+    assert [r[0] for r in df.select(names_checked(ruleset("default"))).collect()] == [False, True, False, True, True, False, False]

@@ -40,7 +40,7 @@ def test_globs_agree_with_fnmatch(spark):
     names = ["a.py", "abc", "xyz", "src/a/b", "a.b", "aXb", "line\n.py"]
     df = spark.createDataFrame([(n,) for n in names], "p string")
     for g in globs:
-        assert [r[0] for r in df.select(F.col("p").rlike(ignore.glob_regex(g))).collect()] == [fnmatch.fnmatchcase(n, g) for n in names], g
+        assert [r[0] for r in df.select(F.col("p").rlike("(?s)^" + ignore.glob_regex(g) + r"\z")).collect()] == [fnmatch.fnmatchcase(n, g) for n in names], g
 
 
 def test_null_path_is_never_ignored(spark):
