@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 
 from graftline.llm.components import connected_components
 from graftline.llm.sketch import band_rows, bit_sketches, bits_differ
-from graftline.runtime import cut, latest, skew_join, spread
+from graftline.operators.pairing import joining_pairs
+from graftline.runtime import cut, latest, spread
 
 #: 40 bands of 5 rows miss a pair of Jaccard similarity 0.7 in 0.06 % of cases, one of
 #: 0.75 in 0.002 %, and meet a pair of 0.15 in 0.3 %.
 BANDS, ROWS = 40, 5
-#: Classes of a bucket that one task compares with all classes of the bucket.
-BLOCK = 2000
 MIN_SIZE, THRESHOLD = 8, 0.7
 
 
@@ -62,44 +61,20 @@ def verify(pairs: DataFrame, cls: DataFrame, threshold: float) -> DataFrame:
     return j.select("a", "b", (F.least("la", "lb") != F.greatest("ha", "hb")).alias("strong"))
 
 
-def near_class_pairs(cls: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, words: int = 0, rounds: int = 1) -> DataFrame:
+def near_class_pairs(cls: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = 0, rounds: int = 1) -> DataFrame:
     """Verified (a, b, strong) pairs of classes that join all near classes: every pair,
     but those whose ends a chain of strong pairs already joins. Sizes travel with the
-    buckets, so pairs of too different ones never fetch their tokens. Where classes of one bucket
-    are often alike but not near, bit sketches of ``words`` numbers tell most of them apart, and more ``rounds`` of
-    comparisons with one class per bucket leave fewer components for the last look."""
-    buckets = spread(cls.select("cls", "size", "tokens")).mapInArrow(band_rows(["cls", "size"], bands, rows), "cls long, size int, bucket long")
-    buckets = cut(buckets)
-    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = cut(skew_join(buckets, many, ["bucket"]).withColumn("comp", F.col("cls")))
+    buckets, so pairs of too different ones never fetch their tokens. Where classes of one
+    bucket are often alike but not near, bit sketches of ``words`` numbers tell most of them
+    apart, and more ``rounds`` leave fewer components for the last look."""
+    buckets = cut(spread(cls.select("cls", "size", "tokens")).mapInArrow(band_rows(["cls", "size"], bands, rows), "cls long, size int, bucket long"))
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
-    found: DataFrame | None = None
-    for turn in range(rounds):
-        #: the classes of a bucket that lie elsewhere are compared with one of its classes
-        rank = F.struct((F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")).alias("rank"), "cls", "size", "comp")
-        one = met.groupBy("bucket").agg(F.min(rank).alias("r"), F.max("n").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-        one = one.select("bucket", "n", F.col("r.cls").alias("a"), F.col("r.size").alias("na"), F.col("r.comp").alias("ca"))
-        stars = skew_join(met.drop("n"), one, ["bucket"]).filter((F.col("ca") != F.col("comp")) & fits("na", "size"))
-        stars = stars.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        more = verify(stars if found is None else stars.join(found.select("a", "b"), ["a", "b"], "left_anti"), cls, threshold)
-        found = cut(more if found is None else found.unionByName(more))
-        comp = connected_components(found.filter("strong"), "a", "b").withColumnRenamed("node", "cls")
-        met = cut(met.drop("comp").join(comp, "cls", "left").select("bucket", "cls", "size", "n", F.coalesce("component", "cls").alias("comp")))
-    #: a bucket needs a last look, at all its pairs, only if it still holds two components
-    mixed = met.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    open_ = met.join(mixed, "bucket", "left_semi")
-    #: a large bucket's comparisons are split over many tasks
-    k = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    bits = [f"b{w}" for w in range(words)]
-    if words:
-        some = cls.select("cls", "tokens").join(open_.select("cls").distinct(), "cls", "left_semi")
-        open_ = open_.join(cut(spread(some).mapInArrow(bit_sketches(["cls"], words, tokens=False), ", ".join(["cls long", *(f"{b} long" for b in bits)]))), "cls")
-    x = open_.select(*[F.col(b).alias(f"a_{b}") for b in bits], "bucket", F.explode(F.sequence(F.lit(0), k - 1)).alias("block"), F.col("cls").alias("a"), F.col("size").alias("na"), F.col("comp").alias("ca"))
-    y = open_.select(*[F.col(b).alias(f"b_{b}") for b in bits], "bucket", F.pmod(F.xxhash64("cls"), k).cast("int").alias("block"), F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("comp").alias("cb"))
-    rest = x.join(y, ["bucket", "block"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb"))
-    rest = (rest.filter(~bits_differ(threshold, words)) if words else rest).select("a", "b").distinct()
-    rest = rest.join(found.select("a", "b"), ["a", "b"], "left_anti")
-    return found.unionByName(verify(rest, cls, threshold))
+    schema = ", ".join(["cls long", *(f"b{w} long" for w in range(words))])
+
+    def bits(some: DataFrame) -> DataFrame:
+        return spread(cls.select("cls", "tokens").join(some, "cls", "left_semi")).mapInArrow(bit_sketches(["cls"], words, tokens=False), schema)
+
+    return joining_pairs(buckets, lambda p: verify(p, cls, threshold), lambda e: connected_components(e, "a", "b"), fits, rounds, bits=bits if words else None, apart=bits_differ(threshold, words) if words else None)
 
 
 def near_duplicates(shingles: DataFrame, regions: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN_SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -173,6 +173,27 @@ f as (select content, count(*) as n_regions from {_SETS} group by content)
 select content, n_rows, n_regions, case when n_regions = 1 then 'rare' when n_regions >= 0.05 * t then 'common' end as mark from f join r using (content), t
 """
 
+#: Lines as bytes in hexadecimal with a blank before each, shared lines, and their runs.
+_SHARED = """
+with f as (select file_id, string_split(regexp_replace(hex(source), '(..)', ' \\1', 'g'), ' 0A') as p
+  from (select *, row_number() over (partition by file_id order by ingested_at desc nulls last) as n from source_files) where n = 1),
+l as (select file_id, case when p is null then [] else list_transform(case when p[-1] = '' then p[1:len(p) - 1] else p end, lambda x: regexp_replace(x, ' 0D$', '')) end as ls from f),
+ln as (select file_id, unnest(range(1, len(ls) + 1)) as pos, unnest(ls) as x from l),
+g as (select file_id, pos, md5(string_agg(x, '|') over w) as h, count(*) over w as n from ln window w as (partition by file_id order by pos rows between current row and 7 following)),
+s as (select distinct file_id, pos + unnest(range(0, 8)) as pos from g where n = 8 and h in (select h from g where n = 8 group by h having count(distinct file_id) > 1)),
+r as (select file_id, pos, pos - row_number() over (partition by file_id order by pos) as run from s)
+"""
+_GRAMS = """
+with d as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') as w, string_split_regex(text, '[A-Za-z0-9]+') as gap from documents where text is not null),
+e as (select distinct item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) as w from eval_items where text is not null),
+dw as (select doc_id, i, sum(before) over o + sum(size) over o - size as start, size from (select doc_id, unnest(range(1, len(w) + 1)) as i, length(unnest(w)) as size, length(unnest(gap[1:len(w)])) as before from d) window o as (partition by doc_id order by i)),
+dg as (select doc_id, unnest(range(1, len(w) - 10)) as i, unnest(list_transform(range(1, len(w) - 10), lambda i: lower(array_to_string(list_slice(w, i, i + 11), ' ')))) as g from d where len(w) > 11),
+eg as (select item_id, unnest(range(1, len(w) - 10)) as j, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) as g from e where len(w) > 11),
+hit as (select distinct doc_id, item_id, i, i - j as diagonal from dg join eg using (g)),
+isle as (select *, i - row_number() over (partition by doc_id, item_id, diagonal order by i) as isle from hit),
+p as (select distinct doc_id, item_id, x, y from (select doc_id, item_id, min(i) as x, max(i) + 11 as y from isle group by doc_id, item_id, diagonal, isle))
+"""
+
 #: The plain SQL of those queries that SQL can state over whole tables.
 SQL: dict[str, str] = {
     "p2_found": _MATCHES + "select node as region_id, component as component_id from comp",
@@ -189,6 +210,11 @@ select node as region_id, component as group_id from comp""",
     "p4_frequencies": _MARKED,
     "p6_found": f"with {_OVERLAP} select list_id, region_id from p where i >= 0.5 * (nl + ns - i)",
     "p6_pairs": f"with {_OVERLAP} select list_id, region_id, round(i / (nl + ns - i), 6) as similarity from p where i >= 0.5 * (nl + ns - i)",
+    "p7_found": _SHARED + "select file_id, min(pos)::int as start_line, max(pos)::int as end_line from r group by file_id, run",
+    "p7_file_share": _SHARED + "select l.file_id, len(ls)::int as n_lines, coalesce(n, 0) as shared_lines, round(coalesce(n / len(ls), 0.0), 6) as share from l left join (select file_id, count(*) as n from s group by file_id) using (file_id)",
+    "p7_region_share": _SHARED + ", g2 as (select distinct region_id, tree_id, start_line, end_line from regions) select region_id, end_line - start_line + 1 as n_lines, count(pos) as shared_lines, round(count(pos) / (end_line - start_line + 1), 6) as share from g2 left join s on file_id = tree_id and pos between start_line and end_line group by region_id, start_line, end_line",
+    "p8_passages": _GRAMS + "select p.doc_id, item_id, a.start::int as start_char, (b.start + b.size)::int as end_char, (y - x + 1)::int as n_words from p join dw a on a.doc_id = p.doc_id and a.i = x join dw b on b.doc_id = p.doc_id and b.i = y",
+    "p8_item_report": _GRAMS + "select item_id, task, coalesce(n, 0) as n_documents, coalesce(w, 0)::int as longest_words from (select distinct item_id, task from eval_items) left join (select item_id, count(distinct doc_id) as n, max(y - x + 1) as w from p group by item_id) using (item_id)",
     "p8_found": """
 with d as (select doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) as w from documents),
 e as (select item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) as w from eval_items),
