@@ -101,16 +101,22 @@ def endings(documents: DataFrame) -> DataFrame:
     tail = F.col("t").substr(F.length("body"), F.col("n"))
     words = F.size(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x.rlike(r"[\p{L}\p{N}]")))
     code = line.rlike(r"^(\t| {4})\s*\S")
-    ends_open = F.col("t").rlike(r"[^.!?:;)\]>}`\s][ \t ]+\z") | line.rlike(r"[,(\[{=+&|\\/<_@#$%]$") | line.rlike(r"[^\w\s]-$|\s-$") | line.rlike(r"(?i)(^|[^\p{L}\p{N}_./-])(" + "|".join(OPEN_WORDS) + r")$")
-    opens = lambda a, b: F.length(F.regexp_replace(line, f"[^{a}]", "")) > F.length(F.regexp_replace(line, f"[^{b}]", ""))
-    unbalanced = opens(r"\[", r"\]") | opens("(", ")") | (code & opens(r"\{", r"\}"))
+    #: patterns that can only match a few last characters are tried on those
+    back = lambda n: F.right(line, F.lit(n))
+    open_word = back(max(map(len, OPEN_WORDS)) + 1).rlike(r"(?i)(^|[^\p{L}\p{N}_./-])(" + "|".join(OPEN_WORDS) + r")$")
+    ends_open = tail.rlike(r"^[^.!?:;)\]>}`\s][ \t\u00a0]+\z") | back(1).rlike(r"[,(\[{=+&|\\/<_@#$%]") | back(2).rlike(r"[^\w\s]-$|\s-$") | open_word
+    number = lambda c: F.length(line) - F.length(F.translate(line, c, ""))
+    unbalanced = (number("[") > number("]")) | (number("(") > number(")")) | (code & (number("{") > number("}")))
+    mark = F.when(back(1).isin("]", ")", ">", "\ufffd"), line.rlike(MARK)).otherwise(F.contains(F.lower(line), F.lit("read more")) & line.rlike(MARK))
+    dots = F.endswith(line, F.lit("...")) | F.endswith(line, F.lit("…"))
+    link = (F.contains(line, F.lit("://")) | F.contains(line, F.lit("]("))) & line.rlike(r"https?://\S+$|\]\([^()\s]+\)$")
     return d.select(
         "doc_id", "source", "n", F.octet_length("t").alias("n_bytes"),
         (fence | block).alias("inside"),
-        line.rlike(MARK).alias("mark"),
-        line.rlike(r"(\.{3}|…)$").alias("dots"),
+        mark.alias("mark"),
+        dots.alias("dots"),
         (line.rlike(r"[.!?。！？؟][\"'”’»)\]*_`]*$") | line.rlike(r"(?i)</[a-z][a-z0-9]*>$|<(br|hr|img)\b[^<>]*/?>$") | line.rlike(r"^\s*(```|~~~|[-=*_]{3,})$|\|\s*$")).alias("closed"),
-        line.rlike(r"https?://\S+$|\]\([^()\s]+\)$").alias("link"),
+        link.alias("link"),
         line.rlike(r"^\s*([-*+•]|\d{1,3}[.)])\s+\S").alias("item"),
         (line.rlike(SIGN_OFF) | line.rlike(r"^--\s*\S.{0,60}$") | line.rlike(r"^\s*[-–—]\s?\p{Lu}[\p{L} .]{0,40}$")).alias("sign"),
         line.rlike(SIGN_WORD).alias("sign_word"),
@@ -121,7 +127,7 @@ def endings(documents: DataFrame) -> DataFrame:
         (F.instr("body", "\n") == 0).alias("single"),
         (words <= 3).alias("tiny"),
         (ends_open | unbalanced).alias("open"),
-        line.rlike(r"\p{Lu}[\p{L}]*\d+\.$|\s\d+\.$").alias("number_dot"),
+        (F.endswith(line, F.lit(".")) & line.rlike(r"\p{Lu}[\p{L}]*\d+\.$|\s\d+\.$")).alias("number_dot"),
         F.regexp_extract(F.regexp_replace(line, r"(\.{3}|…)$", ""), r"(?:^|[^\p{L}\p{N}_])(\p{Ll}+)$", 1).alias("word"),
         F.reverse(F.regexp_extract(F.reverse("t"), r"\A\W*(\p{Ll}+)", 1)).alias("final"),
         (F.size(F.split(F.trim("t"), r"\s+", 7)) <= 6).alias("brief"),
