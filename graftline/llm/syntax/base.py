@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 CLOSE = {"(": ")", "[": "]", "{": "}"}
+_WORDED = frozenset(("op", "kw", "id"))
 
 
 class Problem(Exception):
@@ -57,32 +58,43 @@ class Cursor:
     """A position in the tokens; every parser derives from it."""
 
     def __init__(self, tokens: list[Token], last_line: int):
-        self.toks, self.i = tokens, 0
+        self.toks, self._n = tokens, len(tokens)
         self.eof = Token("eof", "", last_line, True, 1 << 60)
         self.found: list[tuple[int, str]] = []
         pair_brackets(tokens)
+        self.i = 0
 
     @property
-    def cur(self) -> Token:
-        return self.toks[self.i] if self.i < len(self.toks) else self.eof
+    def i(self) -> int:
+        return self._i
+
+    @i.setter
+    def i(self, at: int) -> None:
+        #: the current token is read far more often than the position moves
+        self._i = at
+        self.cur = self.toks[at] if at < self._n else self.eof
 
     def ahead(self, n: int = 1) -> Token:
-        return self.toks[self.i + n] if self.i + n < len(self.toks) else self.eof
+        at = self._i + n
+        return self.toks[at] if at < self._n else self.eof
 
     def step(self) -> Token:
         t = self.cur
-        self.i += 1
+        self._i = at = self._i + 1
+        self.cur = self.toks[at] if at < self._n else self.eof
         return t
 
     def at(self, *texts: str) -> bool:
         t = self.cur
-        return t.text in texts and t.kind in ("op", "kw", "id")
+        return t.text in texts and t.kind in _WORDED
 
     def accept(self, *texts: str) -> Token | None:
-        return self.step() if self.at(*texts) else None
+        t = self.cur
+        return self.step() if t.text in texts and t.kind in _WORDED else None
 
     def expect(self, *texts: str) -> Token:
-        if self.at(*texts):
+        t = self.cur
+        if t.text in texts and t.kind in _WORDED:
             return self.step()
         raise self.fail("expected " + " or ".join(map(repr, texts)))
 

@@ -46,6 +46,8 @@ def tokenize(text: str) -> list[Token]:
                 continue
             if kind == "num" and re.compile(r"[\w$]").match(text, j):
                 raise Problem("number that runs into a name", line)
+            if kind == "num" and s[0] == "0" and s[-1] == "n" and s[1:-1].isdigit():
+                raise Problem("big number with a leading zero", line)
             if kind == "id" and s in KEYWORDS and not (out and out[-1].text in (".", "?.") and out[-1].kind == "op"):
                 kind = "kw"
             if s == "(" and kind == "op":
@@ -111,10 +113,15 @@ def _template(text: str, i: int, line: int) -> int:
 
 _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "as": 8, "satisfies": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
 _ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
-_STRICT = frozenset(("id", "member", "pattern"))
+_STRICT = frozenset(("id", "member", "pattern", "cover"))
 
 
 class _Script(Cursor):
+    #: whether the assignment to be read is a part of a literal
+    literal = False
+    #: whether the code to be read belongs to an asynchronous function
+    awaits = False
+
     def __init__(self, tokens: list[Token], last: int, typed: bool):
         super().__init__(tokens, last)
         self.ts, self.no_in = typed, False
@@ -348,6 +355,7 @@ class _Script(Cursor):
         self.function(True)
 
     def function(self, named: bool) -> None:
+        awaits = self.i > 0 and self.toks[self.i - 1].text == "async"
         self.expect("function")
         self.accept("*")
         if self.cur.kind == "id":
@@ -355,7 +363,7 @@ class _Script(Cursor):
         elif named:
             raise self.fail("expected a name")
         self.signature()
-        self.body()
+        self.body(awaits)
 
     def signature(self) -> None:
         self.type_params()
@@ -387,18 +395,18 @@ class _Script(Cursor):
 
         self.commas(")", item)
 
-    def body(self) -> None:
+    def body(self, awaits: bool = False) -> None:
         """A function body; TypeScript overloads and ambient functions have none."""
         if self.ts and not self.at("{"):
             self.end()
             return
-        state = self.loops, self.switches, self.no_in
-        self.functions, self.loops, self.switches, self.no_in = self.functions + 1, 0, 0, False
+        state = self.loops, self.switches, self.no_in, self.awaits
+        self.functions, self.loops, self.switches, self.no_in, self.awaits = self.functions + 1, 0, 0, False, awaits
         try:
             self.block()
         finally:
             self.functions -= 1
-            self.loops, self.switches, self.no_in = state
+            self.loops, self.switches, self.no_in, self.awaits = state
 
     def s_class(self) -> None:
         self.klass()
@@ -420,15 +428,20 @@ class _Script(Cursor):
             while self.accept(","):
                 self.type()
         self.expect("{")
+        built = 0
         while not self.at("}"):
             if self.cur.kind == "eof":
                 raise self.fail("expected '}'")
             if not self.accept(";"):
-                self.member()
+                built += bool(self.member())
+                if built > 1:
+                    raise self.fail("second constructor")
         self.step()
 
-    def member(self) -> None:
+    def member(self) -> bool | None:
+        """A member of a class; true for a constructor with a body."""
         self.decorators()
+        first = self.cur
         if self.cur.text == "static" and self.ahead().text == "{":
             self.step()
             self.block()
@@ -450,9 +463,11 @@ class _Script(Cursor):
         if self.ts:
             self.accept("?", "!")
         if self.at("(") or (self.ts and self.at("<")):
+            named = self.toks[self.i - 1]
             self.signature()
+            whole = self.at("{")
             self.body()
-            return
+            return whole and named.text == "constructor" and named.kind == "id" and first.text != "static"
         if self.ts and self.accept(":"):
             self.type()
         if self.accept("="):
@@ -738,29 +753,26 @@ class _Script(Cursor):
             kind = "other"
         return kind
 
-    def arrow_body(self) -> None:
+    def arrow_body(self, awaits: bool) -> None:
         self.expect("=>")
         if self.at("{"):
-            ts, self.ts = self.ts, False
-            self.ts = ts
-            state = self.loops, self.switches, self.no_in
-            self.functions, self.loops, self.switches, self.no_in = self.functions + 1, 0, 0, False
-            try:
-                self.block()
-            finally:
-                self.functions -= 1
-                self.loops, self.switches, self.no_in = state
-        else:
+            self.body(awaits)
+            return
+        outer, self.awaits = self.awaits, awaits
+        try:
             self.assign()
+        finally:
+            self.awaits = outer
 
     def arrow(self) -> bool:
         """An arrow function, if one starts here."""
-        at = self.i
+        at, awaits = self.i, False
         if self.cur.text == "async" and self.cur.kind == "id" and not self.ahead().nl and (self.ahead().kind == "id" or self.ahead().text in ("(", "<")):
             self.step()
+            awaits = True
         if self.cur.kind == "id" and self.ahead().text == "=>" and not self.ahead().nl:
             self.step()
-            self.arrow_body()
+            self.arrow_body(awaits)
             return True
         if self.ts and self.at("<"):
 
@@ -775,14 +787,14 @@ class _Script(Cursor):
                 return True
 
             if self.trying(generic):
-                self.arrow_body()
+                self.arrow_body(awaits)
                 return True
         if self.at("(") and self.cur.mate is not None:
             after = self.toks[self.cur.mate + 1] if self.cur.mate + 1 < len(self.toks) else self.eof
             if after.text == "=>" and after.kind == "op":
                 self.step()
                 self.parameters()
-                self.arrow_body()
+                self.arrow_body(awaits)
                 return True
             if self.ts and after.text == ":":
 
@@ -796,12 +808,18 @@ class _Script(Cursor):
                     return True
 
                 if self.trying(typed):
-                    self.arrow_body()
+                    self.arrow_body(awaits)
                     return True
         self.i = at
         return False
 
+    def element(self) -> str:
+        """A part of a literal, which may still turn out to be a pattern."""
+        self.literal = True
+        return self.assign()
+
     def assign(self) -> str:
+        literal, self.literal = self.literal, False
         if self.cur.text == "yield" and self.cur.kind == "id" and self.functions and not self.ahead().text in ("=", ".", "=>"):
             self.step()
             self.accept("*")
@@ -813,11 +831,13 @@ class _Script(Cursor):
         kind = self.conditional()
         op = self.operator()
         if op in _ASSIGN:
-            if kind not in _STRICT or (kind == "pattern" and op != "="):
+            if kind not in _STRICT or (kind in ("pattern", "cover") and op != "="):
                 raise self.fail("assignment to something that is no target")
             self.skip_operator(op)
             self.assign()
             return "other"
+        if kind == "cover" and not literal and self.cur.text not in ("of", "in"):
+            raise self.fail("default in a literal that is no pattern")
         return kind
 
     def conditional(self) -> str:
@@ -866,6 +886,10 @@ class _Script(Cursor):
             if self.unary() not in ("id", "member"):
                 raise self.fail("step of something that is no target")
             return "other"
+        if t.kind == "id" and t.text == "await" and self.awaits:
+            self.step()
+            self.unary()
+            return "other"
         if t.kind == "id" and t.text == "await" and not self.ahead().nl and (self.ahead().kind in ("id", "num", "str", "tpl", "re") or (self.ahead().kind == "kw" and self.ahead().text not in ("in", "instanceof")) or self.ahead().text in ("(", "[", "{", "!", "+", "-", "~")):
             self.step()
             self.unary()
@@ -894,6 +918,8 @@ class _Script(Cursor):
         return self.postfix(kind, True)
 
     def postfix(self, kind: str, calls: bool) -> str:
+        if kind == "cover" and self.at(".", "?.", "[", "("):
+            raise self.fail("default in a literal that is no pattern")
         while True:
             if self.accept("."):
                 self.name()
@@ -1027,24 +1053,27 @@ class _Script(Cursor):
     def array(self) -> str:
         self.step()
         outer, self.no_in = self.no_in, False
+        kind = "pattern"
         while not self.at("]"):
             if self.accept(","):
                 continue
             self.accept("...")
-            self.assign()
+            if self.element() == "cover":
+                kind = "cover"
             if not self.at("]"):
                 self.expect(",")
         self.step()
         self.no_in = outer
-        return "pattern"
+        return kind
 
     def object(self) -> str:
         self.expect("{")
         outer, self.no_in = self.no_in, False
+        kinds = set()
 
         def item() -> None:
             if self.accept("..."):
-                self.assign()
+                kinds.add(self.element())
                 return
             while self.cur.text in ("async", "get", "set") and self.cur.kind == "id" and not (self.ahead().kind == "op" and self.ahead().text in ("(", ",", ":", "}", "=", "<")):
                 self.step()
@@ -1057,15 +1086,16 @@ class _Script(Cursor):
                     raise self.fail("expected '{'")
                 self.body()
             elif self.accept(":") and not star:
+                kinds.add(self.element())
+            elif short and not star and self.accept("="):
                 self.assign()
-            elif self.accept("="):
-                self.assign()
+                kinds.add("cover")
             elif not short or star:
                 raise self.fail("expected ':'")
 
         self.commas("}", item)
         self.no_in = outer
-        return "pattern"
+        return "cover" if "cover" in kinds else "pattern"
 
     # types
     def type_params(self) -> None:

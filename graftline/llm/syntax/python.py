@@ -839,12 +839,10 @@ class _Python(Cursor):
         first = True
         pairs = None
         while not self.at("}"):
-            if self.accept("**"):
-                self.binary(5)
-                pair = True
-            elif self.accept("*"):
+            star = self.accept("*", "**")
+            if star:
                 self.binary(5)
-                pair = False
+                pair = star.text == "**"
             else:
                 self.named()
                 pair = bool(self.accept(":"))
@@ -854,6 +852,8 @@ class _Python(Cursor):
                 raise self.fail("pairs and single items in one display")
             pairs = pair
             if first and self.at("for", "async"):
+                if star:
+                    raise self.fail("unpacking in a comprehension")
                 self.comprehension()
                 break
             first = False

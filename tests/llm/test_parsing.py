@@ -103,3 +103,22 @@ def test_deep_nesting_is_judged(language, deep):
     assert syntax.errors((source.replace("1", "1 1 +", 1)).encode(), language)
     assert syntax.errors((source + "\n)\n").encode(), language)
     assert sys.getrecursionlimit() == limit
+
+
+#: Sources that only look like valid or broken ones.
+NEARLY = {
+    "javascript": (
+        ["({a = 1} = x);", "[{a = 1}] = x;", "({b: {a = 1}} = x);", "for ({a = 1} of x) ;", "(({a = 1}) => a);", "async ({a = 1}) => { await\n x };", "var await = 1; await;", "class A { static constructor() {} constructor() {} }", "10n; 0n; 0x1n;", "x = {...{a}, b};"],
+        ["({a = 1});", "f({a = 1});", "x = {a = 1};", "[{a = 1}].b;", "x => ({a = 1});", "08n;", "let f = async () => { await };", "class A { constructor() {} constructor() {} }"],
+    ),
+    "typescript": (["class A { constructor(a: string); constructor(a: any) {} }", "const f = async <T,>(x: T): Promise<T> => { return await x; };"], ["class A { constructor() {} constructor(a: any) {} }", "f({a = 1});"]),
+    "python": (["{**a, **b}\n", "{a for a in b}\n", "{*a, b}\n", "{a: 1 for a in b}\n"], ["{**a for a in b}\n", "{*a for a in b}\n"]),
+}
+
+
+@pytest.mark.parametrize("language", NEARLY)
+def test_nearly_valid_and_nearly_broken_code(language):
+    good, bad = NEARLY[language]
+    assert [s for s in good if syntax.errors(s.encode(), language)] == []
+    assert [s for s in bad if not syntax.errors(s.encode(), language)] == []
+    assert syntax.errors(b"x = " + b"[" * 3000, "javascript") and syntax.errors(b"x = " + b"[" * 3000 + b"\n", "python")
