@@ -63,10 +63,13 @@ def _count_arrays(size: int):
 def _heavy_counts(rows: DataFrame, record: str, key: list[str], slots: DataFrame, value: str, hot: list[int], size: int) -> DataFrame:
     """``(slot, n_rows, n_records)``: per record first, then in one array per partition."""
     h = rows.join(F.broadcast(slots), value).select(*key, *([record] if record not in key else []), "slot")
-    salt = F.when(_print(record).isin(hot), F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     #: a record's rows meet in one task, as numbers; those of a hot record in many
-    h = h.withColumn("_s", salt.cast("int")).repartition(record, "_s")
-    per = h.groupBy(record, "_s", "slot", *[k for k in key if k != record]).agg(F.lit(1).alias("one")).groupBy(record, "_s", "slot").agg(F.count(F.lit(1)).alias("n"))
+    place = [record]
+    if hot:
+        h = h.withColumn("_s", F.when(_print(record).isin(hot), F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0).cast("int"))
+        place = [record, "_s"]
+    h = h.repartition(*place)
+    per = h.groupBy(*place, "slot", *[k for k in key if k != record]).agg(F.lit(1).alias("one")).groupBy(*place, "slot").agg(F.count(F.lit(1)).alias("n"))
     if hot:
         is_hot = _print(record).isin(hot)
         rest = per.filter(is_hot).groupBy(record, "slot").agg(F.sum("n").alias("n"))
