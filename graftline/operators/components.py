@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftline.runtime import cut, skew_join
+from graftline.runtime import settled, skew_join
 
 
 def _picks(edges: DataFrame, turn: int) -> DataFrame:
@@ -25,18 +25,17 @@ def connected_components(edge_table: DataFrame, u: str = "a", v: str = "b") -> D
     together from the last round to the first. Rounds are checkpointed reliably. Null ends
     and loops link nothing; repeated and reversed edges count once."""
     e = edge_table.select(F.least(u, v).alias("x"), F.greatest(u, v).alias("y"), F.col(u).alias("_u"), F.col(v).alias("_v"))
-    e = cut(e.filter("_u is not null and _v is not null and x <> y").select("x", "y").distinct())
+    e = settled(e.filter("_u is not null and _v is not null and x <> y").select("x", "y").distinct())
     chosen: list[DataFrame] = []
     turn = 0
-    while total := e.count():
-        picks = cut(_picks(e, turn))
+    while e.limit(1).count():
+        picks = settled(_picks(e, turn))
         chosen.append(picks)
         one = picks.select(F.col("node").alias("x"), F.col("rep").alias("rx"), "n")
         two = picks.select(F.col("node").alias("y"), F.col("rep").alias("ry"), "n")
-        #: an edge has two ends, so twice their number bounds every count
-        moved = skew_join(skew_join(e, one, ["x"], total=2 * total).drop("n"), two, ["y"], total=2 * total)
+        moved = skew_join(skew_join(e, one, ["x"]).drop("n"), two, ["y"])
         moved = moved.filter("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y"))
-        e = cut(moved.distinct())
+        e = settled(moved.distinct())
         turn += 1
     if not chosen:
         return e.select(F.col("x").alias("node"), F.col("x").alias("component"))
@@ -44,6 +43,6 @@ def connected_components(edge_table: DataFrame, u: str = "a", v: str = "b") -> D
     for picks in reversed(chosen[:-1]):
         sizes = picks.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
         far = sizes.join(label.select(F.col("node").alias("rep"), F.col("rep").alias("far")), "rep", "left")
-        label = cut(skew_join(picks.select("node", "rep"), far, ["rep"]).select("node", F.coalesce("far", "rep").alias("rep")))
+        label = settled(skew_join(picks.select("node", "rep"), far, ["rep"]).select("node", F.coalesce("far", "rep").alias("rep")))
     least = label.groupBy("rep").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n"))
     return skew_join(label, least, ["rep"]).select("node", "component")

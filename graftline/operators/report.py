@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftline.functions.expressions import lines, sarif_level
+from graftline.runtime import cut, ranked, skew_join
 
 
 def language_summary(regions: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -35,10 +36,13 @@ def self_similar(members: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def ordinals(members: DataFrame, regions: DataFrame) -> DataFrame:
-    """Members with their regions and an ordinal from 0 by path, start and end."""
+    """Members with their regions and an ordinal from 0 by path, start and end. All members
+    are ranked by ranges and each group's first rank is taken off, so that no group has to
+    be sorted in one task."""
     m = members.join(regions.select("region_id", "path", "language", "region_type", "region_name", "start_line", "end_line"), "region_id")
-    w = Window.partitionBy("group_id").orderBy("path", "start_line", "end_line", "region_id")
-    return m.withColumn("ordinal", F.row_number().over(w) - 1)
+    r = cut(ranked(m, [F.col(c) for c in ("group_id", "path", "start_line", "end_line", "region_id")], "_rank"))
+    first = r.groupBy("group_id").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return skew_join(r, first, ["group_id"], "_n").withColumn("ordinal", F.col("_rank") - F.col("_first")).drop("_rank", "_first", "_n")
 
 
 def display_order(groups: DataFrame, members: DataFrame, regions: DataFrame) -> DataFrame:

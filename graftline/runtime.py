@@ -4,6 +4,7 @@ redelivery removal and broadcasts whose size has been checked."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,11 +13,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+#: Applications whose checkpoints are cleaned already.
+_seen: set[str] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: what the session or its cluster names in
     ``spark.checkpoint.dir``. Where nothing is set, a local one is made for a local master;
     on a cluster that is an error, since no other machine could read it."""
     sc = spark.sparkContext
+    _clean_checkpoints(spark)
     known = sc.getCheckpointDir()
     if known:
         return known
@@ -27,12 +33,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _clean_checkpoints(spark: SparkSession) -> None:
+    """Have Spark remove a checkpoint's files once no table refers to it any more, unless
+    the session says otherwise; where the setting cannot be reached, files stay."""
+    sc, key = spark.sparkContext, "spark.cleaner.referenceTracking.cleanCheckpoints"
+    if sc.applicationId in _seen:
+        return
+    _seen.add(sc.applicationId)
+    if sc.getConf().get(key, None) is None:
+        try:
+            sc._jsc.sc().conf().set(key, "true")
+        except AttributeError:
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut`` for tables that a loop makes from one another: a table written to the
+    checkpoint folder. A checkpointed plan keeps the size estimated from all before it, and
+    over many rounds of joins these estimates multiply until the planner chokes on them; a
+    written table has the size of its files."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one with the greatest ``order`` (nulls first, so a dated
     row beats an undated one). Rows that repeat a key are redeliveries of one record.
@@ -60,10 +90,13 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n", to
     key's rows on the left and ``total`` (counted if not given) a bound of their sum.
 
     Keys above 1/``share`` of all rows are broadcast (fewer than ``share`` can exist), so
-    that no task gets a hot key; the others are shuffled. Where not even all rows together
-    are too many for one task, no key can be hot and the join is a plain one."""
+    that no task gets a hot key; the others are shuffled. Where no key has more rows than
+    one task can take, the join is a plain one."""
     if total is None:
-        total = right.agg(F.sum(n)).first()[0] or 0
+        got = right.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
+        total = got["total"] or 0
+        if (got["most"] or 0) <= max(total // share, KEY_ROWS):
+            return left.join(right, on)
     if total <= KEY_ROWS:
         return left.join(right, on)
     limit = max(total // share, KEY_ROWS)
@@ -104,4 +137,4 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df if large else df.repartition(n)
 
 
-__all__ = ["BROADCAST_ROWS", "Window", "bounded", "cut", "ensure_checkpoint_dir", "latest", "ranked", "read", "skew_join", "spread"]
+__all__ = ["BROADCAST_ROWS", "Window", "bounded", "cut", "ensure_checkpoint_dir", "latest", "ranked", "read", "settled", "skew_join", "spread"]
