@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graftline.functions.expressions import ARROW, leaf_value, render
 from graftline.operators.rules import Action, Rule
+from graftline.runtime import cut
 
 
 def with_parents(nodes: DataFrame) -> DataFrame:
@@ -110,4 +111,6 @@ def path_kgrams(nodes: DataFrame, k: int = 3, key: str = "region_id") -> DataFra
 def shingle_regions(nodes: DataFrame, regions: DataFrame, rules: list[Rule], k: int = 3) -> DataFrame:
     """Shingles of every region under a ruleset; numbering starts anew in each region."""
     norm = [r for r in rules if r.action is not Action.EXTRACT]
-    return path_kgrams(normalised(region_nodes(with_inner(with_parents(nodes), norm), regions), norm), k)
+    own = normalised(region_nodes(with_inner(with_parents(nodes), norm), regions), norm)
+    #: the joins below read these narrow rows k times, and the windows above run once
+    return path_kgrams(cut(own.select("region_id", "seq", "parent_seq", "n_children", "start_line", "end_line", "rep")), k)

@@ -15,7 +15,7 @@ from graftline.runtime import cut, skew_join
 
 GATED = ("function", "class", "method")
 #: Variants of a group in one block of its pairs.
-BLOCK = 64
+BLOCK = 128
 
 
 def ordered_ratio(a: list, b: list) -> float:
@@ -94,7 +94,7 @@ def verified(members: DataFrame, lists: DataFrame, regions: DataFrame, signature
     d = skew_join(c, sizes.filter("_k > 1"), ["group_id"], "_k")
     side = lambda d, s: d.select("group_id", "_block", *[F.col(k).alias(f"{k}_{s}") for k in ("n", "contents", "sig", "named", "checked", "ord")])
     x, y = side(d.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))), "a"), side(d.withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int")), "b")
-    p = x.join(y, ["group_id", "_block"]).filter("ord_a < ord_b").repartition("ord_a", "ord_b").withColumn("r", ratio("contents_a", "contents_b"))
+    p = x.join(y, ["group_id", "_block"]).filter("ord_a < ord_b").withColumn("r", ratio("contents_a", "contents_b"))
     differ = F.col("named_a") & F.col("named_b") & (F.col("checked_a") | F.col("checked_b")) & F.coalesce(F.col("sig_a") != F.col("sig_b"), F.lit(False))
     p = p.withColumn("r", F.when((F.col("r") >= gate) & differ, 0.0).otherwise(F.col("r")))
     across = p.groupBy("group_id").agg(F.sum(F.col("r") * F.col("n_a") * F.col("n_b")).alias("across"))

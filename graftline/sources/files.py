@@ -71,27 +71,33 @@ def _parser(batches: Iterator[pa.RecordBatch], tolerant: bool = False, texts: fr
     from graftline.sources.frontends import parse
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-    schema = pa.schema([(c, pa.int64() if c == "tree_id" else pa.string() if c in ("kind", "field", "text") else pa.int32()) for c in NODE_COLUMNS] + [("parse_error", pa.string())])
+    schema = pa.schema([(c, pa.int64() if c == "tree_id" else pa.string() if c in ("kind", "field", "text") else pa.int32()) for c in NODE_COLUMNS] + [(c, pa.string()) for c in ("parent_kind", "grandparent_kind", "parse_error")])
+    parent, kind = NODE_COLUMNS.index("parent_seq"), NODE_COLUMNS.index("kind")
     for b in batches:
         for tree_id, lang, source, offset in zip(*(c.to_pylist() for c in b.columns)):
             try:
                 text = (source or b"").decode("utf-8", "ignore").lstrip("﻿").replace("\r\n", "\n")
-                got = [(*r, None) for r in rows(parse(text, lang, tolerant), text, tree_id, offset or 0, texts)]
+                got = []
+                for r in rows(parse(text, lang, tolerant), text, tree_id, offset or 0, texts):
+                    #: parents stand before their children, so the kinds above are known already
+                    up = got[r[parent]] if r[parent] is not None else None
+                    got.append((*r, up and up[kind], up and up[len(NODE_COLUMNS)], None))
             except (ValueError, SyntaxError, RecursionError) as e:
-                got = [(tree_id, *[None] * (len(NODE_COLUMNS) - 1), f"{type(e).__name__}: {e}")]
+                got = [(tree_id, *[None] * (len(NODE_COLUMNS) + 1), f"{type(e).__name__}: {e}")]
             cols = list(zip(*got))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def parse_files(files: DataFrame, tolerant: bool = False, texts: frozenset[str] | None = None) -> DataFrame:
-    """``nodes`` of files ``(file_id, language, source[, line_offset])``, with one row that
+    """``nodes`` of files ``(file_id, language, source[, line_offset])``, with the kinds of
+    the two nodes above each, so that rules on parents need no join, and with one row that
     has just ``parse_error`` for each file that does not parse. A ``tolerant`` parse keeps
     the tree of a file with syntax errors and marks them by nodes of kind ``ERROR``.
     Every node carries its text, or, with ``texts`` (``rules.text_kinds``), only leaves,
     the kinds that the built-in rules read and those named."""
     offset = F.col("line_offset") if "line_offset" in files.columns else F.lit(0)
     f = files.select("file_id", "language", F.col("source").cast("binary").alias("source"), offset.cast("int").alias("line_offset"))
-    return spread(f).mapInArrow(partial(_parser, tolerant=tolerant, texts=None if texts is None else TEXT_KINDS | texts), NODE_SCHEMA + ", parse_error string")
+    return spread(f).mapInArrow(partial(_parser, tolerant=tolerant, texts=None if texts is None else TEXT_KINDS | texts), NODE_SCHEMA + ", parent_kind string, grandparent_kind string, parse_error string")
 
 
 def parsed(nodes: DataFrame) -> DataFrame:
