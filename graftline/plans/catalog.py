@@ -707,6 +707,19 @@ def d2_line_diff(spark: SparkSession, d: str) -> DataFrame:
     return x.select("group_id", "a", "b", "identical", F.size("ops").alias("n_ops"))
 
 
+@query(f"""
+with recursive {_BAND} {_COMP} {_MEAN} {_KEPT}
+o as (select group_id, reg.*, row_number() over (partition by group_id order by path, start_line, end_line, region_id) as k from mem join reg using (region_id)),
+f as (select file_id, string_split({HEX}, ' 0A') as ls from {LATEST}),
+t as (select group_id, k, region_id, list_slice(ls, start_line, end_line) as x from o left join f on file_id = tree_id where k <= 2)
+select x.group_id, x.region_id as a, y.region_id as b, x.x = y.x as identical from t x join t y on x.group_id = y.group_id and x.k = 1 and y.k = 2""")
+def d3_identical(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the first two members of every group have the same lines."""
+    g, m, r = _groups(spark, d)
+    f = latest(read(spark, d, "source_files").select("file_id", "source", "ingested_at"), ["file_id"], "ingested_at")
+    return diff.group_diffs(m, r, f).select("group_id", "a", "b", "identical")
+
+
 @query()
 def d4_char_highlight(spark: SparkSession, d: str) -> DataFrame:
     """Character opcodes of replaced line pairs."""
