@@ -16,7 +16,7 @@ BLOCK = 2000
 LINES = 64
 
 
-def _halves(rows: DataFrame, n: Column, key: list[str], id_: str, block: int) -> tuple[DataFrame, DataFrame]:
+def _halves(rows: DataFrame, n: Column, id_: str, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of a bucket's self-join, split into blocks: the left side is repeated for
     every block, the right side lies in one, so no task gets a large bucket whole."""
     k = F.greatest(F.ceil(n / F.lit(block)), F.lit(1)).cast("int")
@@ -27,7 +27,7 @@ def _halves(rows: DataFrame, n: Column, key: list[str], id_: str, block: int) ->
 def bucket_pairs(buckets: DataFrame, id_: str = "region_id", key: str = "bucket", block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a, b), a < b, of records that share a bucket."""
     sizes = buckets.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    left, right = _halves(skew_join(buckets, sizes, [key]), F.col("n"), [key], id_, block)
+    left, right = _halves(skew_join(buckets, sizes, [key]), F.col("n"), id_, block)
     x, y = left.select(key, "_block", F.col(id_).alias("a")), right.select(key, "_block", F.col(id_).alias("b"))
     return x.join(y, [key, "_block"]).filter("a < b").select("a", "b").distinct()
 
@@ -70,7 +70,7 @@ def joining_pairs(
     open_ = met.join(mixed, "bucket", "left_semi")
     if bits:
         open_ = open_.join(cut(bits(open_.select("cls").distinct())), "cls")
-    left, right = _halves(open_, F.col("n"), ["bucket"], "cls", block)
+    left, right = _halves(open_, F.col("n"), "cls", block)
     name = lambda d, s: d.select("bucket", "_block", F.col("cls").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in d.columns if c not in ("bucket", "_block", "cls", "n")])
     rest = name(left, "a").join(name(right, "b"), ["bucket", "_block"])
     rest = rest.filter((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & fits(F.col("a_size"), F.col("b_size")))
