@@ -14,6 +14,7 @@ _TOKEN = re.compile(
     r"|(?P<id>\#?(?:[^\W\d]|\$|\\u\{?[0-9a-fA-F]+\}?)(?:\w|\$|\\u\{?[0-9a-fA-F]+\}?|[‌‍])*)"
     r"|(?P<op>\.\.\.|=>|\*\*=|<<=|&&=|\|\|=|\?\?=|===|!==|==|!=|<=|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|<<|[-+*/%&|^]=|[-+*/%&|^!~?:=<>(){}\[\],;.@])", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_RUNS_ON = re.compile(r"[\w$]")
 _VALUE_WORDS = frozenset(("this", "super", "null", "true", "false"))
 
 
@@ -27,10 +28,10 @@ def tokenize(text: str) -> list[Token]:
     while i < n:
         c = text[i]
         if c == "`":
-            j = _template(text, i, line)
+            j, kind = _template(text, i, line), "tpl"
             out.append(Token("tpl", text[i:j], line, nl, i))
         elif c == "/" and not text.startswith(("//", "/*"), i) and _regex_here(out, closed_head) and (m := _REGEX.match(text, i)):
-            j = m.end()
+            j, kind = m.end(), "re"
             out.append(Token("re", m[0], line, nl, i))
         else:
             m = _TOKEN.match(text, i)
@@ -44,10 +45,11 @@ def tokenize(text: str) -> list[Token]:
                 line += s.count("\n")
                 i = j
                 continue
-            if kind == "num" and re.compile(r"[\w$]").match(text, j):
-                raise Problem("number that runs into a name", line)
-            if kind == "num" and s[0] == "0" and s[-1] == "n" and s[1:-1].isdigit():
-                raise Problem("big number with a leading zero", line)
+            if kind == "num":
+                if _RUNS_ON.match(text, j):
+                    raise Problem("number that runs into a name", line)
+                if s[0] == "0" and s[-1] == "n" and s[1:-1].isdigit():
+                    raise Problem("big number with a leading zero", line)
             if kind == "id" and s in KEYWORDS and not (out and out[-1].text in (".", "?.") and out[-1].kind == "op"):
                 kind = "kw"
             if s == "(" and kind == "op":
@@ -55,7 +57,8 @@ def tokenize(text: str) -> list[Token]:
             elif s == ")" and kind == "op":
                 closed_head = parens.pop() if parens else False
             out.append(Token(kind, s, line, nl, i))
-        line += text.count("\n", i, j)
+        if kind in ("tpl", "str"):
+            line += text.count("\n", i, j)
         nl = False
         i = j
     return out
