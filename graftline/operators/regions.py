@@ -34,8 +34,10 @@ def extract(nodes: DataFrame, files: DataFrame, rules: list[Rule]) -> DataFrame:
     with repeats removed. A language without rules gives none. ``files`` is (file_id,
     path, language)."""
     found = [r for r in rules if r.action is Action.EXTRACT]
-    n = with_parents(nodes.join(files.select(F.col("file_id").alias("tree_id"), "path", "language"), "tree_id"))
-    n = with_inner(n, found)
+    #: only nodes of a kind that some rule names can be regions; they go into the joins
+    kinds = sorted({k for r in found for k in r.match.kinds})
+    n = with_parents(nodes).filter(F.col("kind").isin(*kinds)).join(files.select(F.col("file_id").alias("tree_id"), "path", "language"), "tree_id")
+    n = with_inner(n, found, nodes)
     hit = [F.when((F.col("language").isin(*r.languages) if "*" not in r.languages else F.lit(True)) & r.match.column(), F.struct(F.lit(i).alias("rule_no"), F.lit(r.params.get("region_type", "unknown")).alias("region_type"), F.lit(r.inject).alias("inject"), F.lit(r.content).alias("content"))) for i, r in enumerate(found)]
     n = n.withColumn("_hit", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull()))).select("*", "_hit.*").drop("_hit")
     named = nodes.filter(F.col("kind").isin(*NAME_KINDS)).groupBy("tree_id", F.col("parent_seq").alias("seq")).agg(F.min_by("text", "seq").alias("_name"))

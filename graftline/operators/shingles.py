@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graftline.functions.expressions import ARROW, leaf_value, render
 from graftline.operators.rules import Action, Rule
-from graftline.runtime import cut
+from graftline.runtime import settled
 
 
 def with_parents(nodes: DataFrame) -> DataFrame:
@@ -23,12 +23,13 @@ def with_parents(nodes: DataFrame) -> DataFrame:
     return nodes.join(up, ["tree_id", "parent_seq"], "left").join(top, ["tree_id", "_g"], "left").drop("_g")
 
 
-def with_inner(nodes: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add ``inner``, the kinds and texts of the children that some rule asks about."""
+def with_inner(nodes: DataFrame, rules: list[Rule], below: DataFrame | None = None) -> DataFrame:
+    """Add ``inner``, the kinds and texts of the children that some rule asks about; where
+    ``nodes`` are only some of a tree's, ``below`` has all of them."""
     kinds = {r.match.has[0] for r in rules if r.match.has}
     if not kinds:
         return nodes
-    inner = nodes.filter(F.col("kind").isin(*kinds)).groupBy("tree_id", F.col("parent_seq").alias("seq")).agg(F.collect_list(F.struct("kind", "text")).alias("inner"))
+    inner = (nodes if below is None else below).filter(F.col("kind").isin(*kinds)).groupBy("tree_id", F.col("parent_seq").alias("seq")).agg(F.collect_list(F.struct("kind", "text")).alias("inner"))
     return nodes.join(inner, ["tree_id", "seq"], "left")
 
 
@@ -113,4 +114,4 @@ def shingle_regions(nodes: DataFrame, regions: DataFrame, rules: list[Rule], k:
     norm = [r for r in rules if r.action is not Action.EXTRACT]
     own = normalised(region_nodes(with_inner(with_parents(nodes), norm), regions), norm)
     #: the joins below read these narrow rows k times, and the windows above run once
-    return path_kgrams(cut(own.select("region_id", "seq", "parent_seq", "n_children", "start_line", "end_line", "rep")), k)
+    return path_kgrams(settled(own.select("region_id", "seq", "parent_seq", "n_children", "start_line", "end_line", "rep")), k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graftline.operators import lsh, minhash, regions, verify
 from graftline.operators.rules import build_rules, text_kinds
 from graftline.operators.shingles import shingle_regions
-from graftline.runtime import cut
+from graftline.runtime import settled
 from graftline.settings import Settings
 from graftline.sources import files as sources
 
@@ -46,7 +46,7 @@ def detect_files(files: DataFrame, settings: Settings = Settings(), progress: Ca
 
     def stage(name: str, df: DataFrame) -> DataFrame:
         began = time.time()
-        df = cut(df)
+        df = settled(df)
         stages[name] = (df.count(), time.time() - began)
         if progress:
             progress(name, *stages[name])
@@ -54,12 +54,14 @@ def detect_files(files: DataFrame, settings: Settings = Settings(), progress: Ca
 
     rules = build_rules(settings.ruleset, settings.region_filters, settings.additional_regions, settings.excluded_regions)
     nodes = stage("parse", sources.parsed(sources.parse_files(files, tolerant=True, texts=text_kinds(rules))))
-    found = stage("extract", regions.at_least(regions.extract(nodes, files, rules), settings.min_lines))
+    #: places without the sources, which are read again only where they are needed
+    places = settled(files.select("file_id", "path", "language"))
+    found = stage("extract", regions.at_least(regions.extract(nodes, places, rules), settings.min_lines))
     inner = regions.injections(found, nodes)
     trees = sources.parsed(sources.parse_files(inner.select(F.col("region_id").alias("file_id"), "language", "source", "line_offset"), tolerant=True, texts=text_kinds(rules)))
     if any(r.inject for r in rules):
-        trees = cut(trees)
-        found = cut(regions.with_injections(found, inner, trees))
+        trees = settled(trees)
+        found = settled(regions.with_injections(found, inner, trees))
         nodes = nodes.unionByName(trees)
     sh = stage("shingle", shingle_regions(nodes, found, rules, settings.k))
     sig = stage("minhash", minhash.signatures(sh, settings.num_perm))

@@ -59,7 +59,7 @@ def settled(df: DataFrame) -> DataFrame:
     over many rounds of joins these estimates multiply until the planner chokes on them; a
     written table has the size of its files."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
