@@ -26,11 +26,15 @@ def with_parents(nodes: DataFrame) -> DataFrame:
 def with_inner(nodes: DataFrame, rules: list[Rule], below: DataFrame | None = None) -> DataFrame:
     """Add ``inner``, the kinds and texts of the children that some rule asks about; where
     ``nodes`` are only some of a tree's, ``below`` has all of them."""
-    kinds = {r.match.has[0] for r in rules if r.match.has}
-    if not kinds:
+    asked = [r for r in rules if r.match.has]
+    if not asked:
         return nodes
+    kinds, holders = {r.match.has[0] for r in asked}, {k for r in asked for k in r.match.kinds}
     inner = (nodes if below is None else below).filter(F.col("kind").isin(*kinds)).groupBy("tree_id", F.col("parent_seq").alias("seq")).agg(F.collect_list(F.struct("kind", "text")).alias("inner"))
-    return nodes.join(inner, ["tree_id", "seq"], "left")
+    #: only nodes of the asking kinds are joined; all others pass by
+    holds = F.coalesce(F.col("kind").isin(*holders), F.lit(False))
+    some = nodes.filter(holds).join(inner, ["tree_id", "seq"], "left")
+    return some.unionByName(nodes.filter(~holds).withColumn("inner", F.lit(None).cast(inner.schema["inner"].dataType)))
 
 
 def region_nodes(nodes: DataFrame, regions: DataFrame) -> DataFrame:
