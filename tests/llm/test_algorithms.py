@@ -279,3 +279,53 @@ def test_shared_shares_and_empty_tables(spark):
     assert {x["file_id"]: (x["shared_lines"], x["share"]) for x in f.collect()} == {1: (10, 0.5), 2: (10, 1.0), 3: (0, 0.0)}
     assert {x["region_id"]: x["share"] for x in r.collect()} == {10: 0.5, 11: 0.0}
     assert spans.shared_spans(df.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ pairs inside buckets
+def bucket_fixture(rng):
+    """Classes alike, in three buckets, of which many pairs are near and many just not."""
+    base = [rng.sample(range(10_000), 60) for _ in range(3)]
+    sets = {i: sorted({*rng.sample(base[i % 3], 60 - rng.randrange(6)), *(rng.randrange(10_000) for _ in range(rng.randrange(6)))}) for i in range(240)}
+    return sets, [(rng.randrange(2) if i % 5 else 7, i, len(t), i % 50 or -i) for i, t in sets.items()]
+
+
+@pytest.mark.parametrize("size", [8000, 40])
+def test_near_pairs_inside_buckets_against_all_pairs(spark, size, monkeypatch):
+    from graftline.llm import buckets
+
+    sets, rows = bucket_fixture(random.Random(3))
+    monkeypatch.setattr(buckets, "PAIRS", 50)
+    n, weight = Counter(b for b, *_ in rows), Counter()
+    for b, _, s, _ in rows:
+        weight[b] += s
+    df = spark.createDataFrame([(*r, n[r[0]], weight[r[0]]) for r in rows], "bucket long, cls long, size int, comp long, n long, weight long")
+    split = buckets.cells(df, df.n, df.weight, group_rows=size).join(spark.createDataFrame(list(sets.items()), "cls long, tokens array<long>"), "cls")
+    cols = ["bucket", "cell", "cross", "side", "cls", "size", "comp", "tokens"]
+    table = split.select(*cols).orderBy("bucket", "cell", "size").toArrow()
+    whole = buckets.near_in_cells(0.8, 0)
+    want = {(a, b) for x, a, _, c in rows for y, b, _, d in rows if x == y and a < b and c != d and jaccard(set(sets[a]), set(sets[b])) >= 0.8 - 1e-9}
+    for step in (7, 5000):
+        got = [tuple(p.values()) for batch in whole(iter(table.combine_chunks().to_batches(step))) for p in batch.to_pylist()]
+        assert set(got) == want and len(got) == len(want) and len(want) > 500
+
+
+def test_last_look_shuffles_tokens_by_bucket_and_not_by_pair(spark):
+    """Sets alike but not near share buckets; no pair of them is joined with its tokens."""
+    sets = {i: [*range(100), *(1000 * (i + 1) + k for k in range(14))] for i in range(20)}
+    sets[20] = [*sets[19][:-1], 5]
+    cls = spark.createDataFrame([(i, len(t), sorted(set(t)), "a", "b") for i, t in sets.items()], "cls long, size int, tokens array<long>, lo string, hi string")
+    pairs = near.near_class_pairs(cls, 0.9, 16, 2, words=4)
+    assert {(r["a"], r["b"], r["strong"]) for r in pairs.collect()} == {(19, 20, True)}
+    assert "array_intersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sources_are_read_before_the_latest_delivery_is_picked(spark):
+    """The latest delivery counts; sources are read below the shuffle that picks it."""
+    from graftline.llm import handwritten
+
+    rows = [(i % 30, "r", f"/s/{i}.py", b"def f%d():\n    return %d\n" % (i, i), datetime(2024, 1, 1 + i // 30), "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "file_id long, repo_name string, path string, source binary, ingested_at timestamp, tokens string")
+    figures = handwritten._figures(df)
+    assert {r["file_id"]: r["path"] for r in figures.collect()} == {i: f"/s/{i + 30}.py" for i in range(30)}
+    plan = figures._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("MapInArrow") and plan.count("MapInArrow") == 1
