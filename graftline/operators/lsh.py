@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graftline.functions.expressions import jaccard_estimate, lines
 from graftline.operators.components import connected_components
 from graftline.operators.pairing import bucket_pairs, joining_pairs, overlapping
-from graftline.runtime import cut
+from graftline.runtime import cut, settled
 from graftline.settings import Settings
 
 
@@ -52,8 +52,10 @@ def classes(signatures: DataFrame) -> DataFrame:
     return s.join(reps, "same").select("region_id", "rep")
 
 
-def representatives(signatures: DataFrame) -> DataFrame:
-    return signatures.join(classes(signatures).filter("region_id = rep").select("region_id"), "region_id", "left_semi")
+def representatives(signatures: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """The signatures of the classes' representatives; ``of`` are the classes, if known."""
+    of = classes(signatures) if of is None else of
+    return signatures.join(of.filter("region_id = rep").select("region_id"), "region_id", "left_semi")
 
 
 def _buckets(reps: DataFrame, threshold: float) -> DataFrame:
@@ -113,11 +115,10 @@ def verified(signatures: DataFrame, settings: Settings) -> DataFrame:
     return estimated(candidates(signatures, settings.lsh_threshold), signatures).filter(F.col("estimate") >= settings.pair_threshold)
 
 
-def joining(signatures: DataFrame, by_path: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b, estimate) of near classes that join them all. Two classes that span two paths
+def joining(reps: DataFrame, by_path: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, estimate) of near classes, given their representatives, that join them all. Two classes that span two paths
     together are wholly linked, so such pairs are contracted before the last look."""
-    reps = cut(representatives(signatures))
-    paths = cut(by_path.groupBy("rep").agg(F.min("path").alias("lo"), F.max("path").alias("hi")))
+    paths = settled(by_path.groupBy("rep").agg(F.min("path").alias("lo"), F.max("path").alias("hi")))
     side = lambda s: paths.select(F.col("rep").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def joining(signatures: DataFrame, by_path: DataFrame, settings: Settings) -> Da
         return e.join(side("a"), "a").join(side("b"), "b").select("a", "b", "estimate", (F.least("lo_a", "lo_b") != F.greatest("hi_a", "hi_b")).alias("strong"))
 
     buckets = _buckets(reps, settings.lsh_threshold).select(F.col("region_id").alias("cls"), F.lit(1).alias("size"), "bucket")
-    return cut(joining_pairs(cut(buckets), verify, connected_components)).select("a", "b", "estimate")
+    return settled(joining_pairs(settled(buckets), verify, connected_components, keep=settled)).select("a", "b", "estimate")
 
 
 def _apart(x: Column, y: Column) -> Column:
@@ -148,14 +149,15 @@ def links(signatures: DataFrame, regions: DataFrame, settings: Settings) -> Data
     that starts last, and a member of another path. A region that is apart from any member
     is apart from an anchor, and anchors that are apart belong together with all members
     but the loose ones: those of a class within one path that overlap every other member."""
-    m = classes(signatures).join(regions.select("region_id", F.struct("region_id", "path", "start_line", "end_line").alias("at")), "region_id").filter("at.path is not null")
+    of = settled(classes(signatures))
+    m = settled(of.join(regions.select("region_id", F.struct("region_id", "path", "start_line", "end_line").alias("at")), "region_id").filter("at.path is not null"))
     order = lambda c: F.struct(F.col(f"at.{c}").isNull(), F.col(f"at.{c}"), F.col("region_id"))
     by_path = m.groupBy("rep", F.col("at.path").alias("path")).agg(
         F.min_by("at", order("end_line")).alias("first"), F.max_by("at", F.struct("at.start_line", "region_id")).alias("last"),
         F.max(F.when(F.col("region_id") == F.col("rep"), F.col("at"))).alias("own"), F.count(F.lit(1)).alias("n"))
     ends = F.struct("path", "first", "last")
     cls = by_path.groupBy("rep").agg(F.min(ends).alias("x"), F.max(ends).alias("y"), F.max("own").alias("own"), F.sum("n").alias("n"))
-    cls = cls.select("rep", F.array_distinct(F.array("x.first", "x.last", "y.first")).alias("anchors"), "own", ((F.col("x.path") == F.col("y.path")) & (F.col("n") > 1)).alias("within"))
+    cls = settled(cls.select("rep", F.array_distinct(F.array("x.first", "x.last", "y.first")).alias("anchors"), "own", ((F.col("x.path") == F.col("y.path")) & (F.col("n") > 1)).alias("within")))
 
     near = lambda x, ys: F.exists(ys, lambda y: _apart(x, y))
     single = m.join(cls.filter("within").select("rep", "anchors"), "rep").filter(~near(F.col("at"), F.col("anchors")))
@@ -165,7 +167,7 @@ def links(signatures: DataFrame, regions: DataFrame, settings: Settings) -> Data
     same = m.join(cls.select("rep", "anchors", "own"), "rep").filter("region_id <> rep")
     same = same.select(F.explode(F.when(_apart(F.col("at"), F.col("own")), _linked(F.col("at"), F.array("own"))).otherwise(_linked(F.col("at"), F.col("anchors")))).alias("p"), F.lit(1.0).alias("estimate"))
     side = lambda s: pieces.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("anchors", "own", "all", "whole")])
-    j = joining(signatures, by_path, settings).join(side("a"), "a").join(side("b"), "b")
+    j = joining(settled(representatives(signatures, of)), by_path, settings).join(side("a"), "a").join(side("b"), "b")
     c = F.col
     every = F.flatten(F.array(F.flatten(F.transform("all_a", lambda x: _linked(x, c("anchors_b")))), F.flatten(F.transform("all_b", lambda x: _linked(x, c("anchors_a"))))))
     own = _linked(c("own_a"), F.array("own_b"))

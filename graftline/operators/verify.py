@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from graftline.functions.expressions import lines
 from graftline.operators.rules import Rule, anonymises_name
-from graftline.runtime import cut, skew_join
+from graftline.runtime import settled, skew_join
 
 GATED = ("function", "class", "method")
 #: Variants of a group in one block of its pairs.
@@ -27,7 +27,7 @@ def ordered_ratio(a: list, b: list) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ordered_ratio(x if x is not None else [], y if y is not None else []) for x, y in zip(a, b)])
+    return pd.Series([ordered_ratio(x.tolist() if x is not None else [], y.tolist() if y is not None else []) for x, y in zip(a, b)])
 
 
 def ratio(a: str, b: str) -> Column:
@@ -37,10 +37,11 @@ def ratio(a: str, b: str) -> Column:
 
 
 def content_lists(shingles: DataFrame) -> DataFrame:
-    """``(region_id, contents)``: the list of each region in order, one entry per seq."""
-    one = shingles.filter("content is not null").groupBy("region_id", "seq").agg(F.min("content").alias("content"))
-    per = one.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("s"))
-    return per.select("region_id", F.transform("s", lambda x: x["content"]).alias("contents"))
+    """``(region_id, contents)``: the list of each region in order, one entry per seq, the
+    least of its contents. Rows are shuffled once, redeliveries collapse before."""
+    per = shingles.filter("content is not null").groupBy("region_id").agg(F.array_sort(F.collect_set(F.struct("seq", "content"))).alias("s"))
+    first = F.filter("s", lambda x, i: (i == 0) | ~x["seq"].eqNullSafe(F.col("s")[F.greatest(i - 1, F.lit(0))]["seq"]))
+    return per.select("region_id", F.transform(first, lambda x: x["content"]).alias("contents"))
 
 
 def looked_up(lists: DataFrame, regions: DataFrame) -> DataFrame:
@@ -75,30 +76,36 @@ def verified(members: DataFrame, lists: DataFrame, regions: DataFrame, signature
     """``(group_id, size, similarity)``: the mean ordered ratio over all member pairs.
 
     Members with one list (and, where names are checked, one signature line) are one class
-    with a weight, so copies are compared once. Pairs of classes are joined by group; a
+    with a weight, so copies are compared once; lists are read for members only, and go on
+    as digests but where classes of one group are compared. Pairs of classes are joined by group; a
     pair is taken in the order of path, start, end and class. A ratio of at least ``gate`` between
     functions, classes or methods whose first lines differ counts 0, unless the active
     rules replace both names."""
-    m = members.join(regions.select("region_id", "path", "start_line", "end_line", "region_type", "language"), "region_id").join(looked_up(lists, regions), "region_id", "left")
+    #: which region gives its list to those that start on its line, as in ``looked_up``
+    last = regions.select("region_id", "path", "start_line", "end_line").join(lists.select("region_id"), "region_id", "left_semi")
+    last = last.groupBy("path", "start_line").agg(F.max_by("region_id", F.struct("end_line", "region_id")).alias("source"))
+    m = settled(members.join(regions.select("region_id", "path", "start_line", "end_line", "region_type", "language"), "region_id").join(last, ["path", "start_line"], "left"))
+    lists = settled(lists.join(m.select(F.col("source").alias("region_id")).filter("region_id is not null").distinct(), "region_id", "left_semi"))
+    m = m.join(lists.select(F.col("region_id").alias("source"), F.sha2(F.to_json(F.struct("contents")), 256).alias("digest")), "source", "left")
     if signatures is not None:
         m = m.join(signatures, "region_id", "left").withColumn("named", F.coalesce(F.col("region_type").isin(*GATED), F.lit(False))).withColumn("checked", names_checked(rules or []))
     else:
         m = m.withColumn("signature", F.lit(None).cast("string")).withColumn("named", F.lit(False)).withColumn("checked", F.lit(False))
-    key = F.sha2(F.to_json(F.struct(F.coalesce("contents", F.array().cast("array<string>")).alias("c"), F.when(F.col("named"), F.col("signature")).alias("s"), "named", "checked")), 256)
+    key = F.sha2(F.to_json(F.struct(F.coalesce("digest", F.lit("")).alias("c"), F.when(F.col("named"), F.col("signature")).alias("s"), "named", "checked")), 256)
     c = m.withColumn("cls", key).groupBy("group_id", "cls").agg(
-        F.count(F.lit(1)).alias("n"), F.first("contents").alias("contents"), F.first("signature").alias("sig"), F.first("named").alias("named"), F.first("checked").alias("checked"), F.min(F.struct("path", "start_line", "end_line", "cls")).alias("ord"))
-    c = cut(c)
+        F.count(F.lit(1)).alias("n"), F.min("source").alias("source"), F.first("signature").alias("sig"), F.first("named").alias("named"), F.first("checked").alias("checked"), F.min(F.struct("path", "start_line", "end_line", "cls")).alias("ord"))
+    c = settled(c)
     #: a group's pairs of variants are spread over tasks: one side lies in blocks, the other meets each
     sizes = c.groupBy("group_id").agg(F.count(F.lit(1)).alias("_k"))
     blocks = F.greatest(F.ceil(F.col("_k") / F.lit(BLOCK)), F.lit(1)).cast("int")
-    d = skew_join(c, sizes.filter("_k > 1"), ["group_id"], "_k")
+    d = skew_join(c, sizes.filter("_k > 1"), ["group_id"], "_k").join(lists.withColumnRenamed("region_id", "source"), "source", "left")
     side = lambda d, s: d.select("group_id", "_block", *[F.col(k).alias(f"{k}_{s}") for k in ("n", "contents", "sig", "named", "checked", "ord")])
     x, y = side(d.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))), "a"), side(d.withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int")), "b")
     p = x.join(y, ["group_id", "_block"]).filter("ord_a < ord_b").withColumn("r", ratio("contents_a", "contents_b"))
     differ = F.col("named_a") & F.col("named_b") & (F.col("checked_a") | F.col("checked_b")) & F.coalesce(F.col("sig_a") != F.col("sig_b"), F.lit(False))
     p = p.withColumn("r", F.when((F.col("r") >= gate) & differ, 0.0).otherwise(F.col("r")))
     across = p.groupBy("group_id").agg(F.sum(F.col("r") * F.col("n_a") * F.col("n_b")).alias("across"))
-    inside = c.groupBy("group_id").agg(F.sum("n").alias("size"), F.sum(F.when(F.size("contents") > 0, F.col("n") * (F.col("n") - 1) / 2).otherwise(0.0)).alias("inside"))
+    inside = c.groupBy("group_id").agg(F.sum("n").alias("size"), F.sum(F.when(F.col("source").isNotNull(), F.col("n") * (F.col("n") - 1) / 2).otherwise(0.0)).alias("inside"))
     pairs = F.col("size") * (F.col("size") - 1) / 2
     mean = F.when(F.col("size") < 2, 1.0).otherwise((F.coalesce("across", F.lit(0.0)) + F.col("inside")) / pairs)
     return inside.join(across, "group_id", "left").select("group_id", "size", mean.alias("similarity"))

@@ -15,7 +15,7 @@ from graftline.functions import expressions as X
 from graftline.operators import diff, inspect, lsh, minhash, pairing, regions, report, rules, shingles, verify
 from graftline.operators.components import connected_components
 from graftline.plans.pipeline import detect, detect_files
-from graftline.runtime import cut, latest, ranked, read
+from graftline.runtime import cut, latest, ranked, read, settled
 from graftline.settings import Settings
 from graftline.sources import files as sources
 from graftline.sources import ignore
@@ -596,8 +596,8 @@ def _signatures(spark: SparkSession, d: str) -> DataFrame:
 
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     r = regions_table(spark, d)
-    g, m = lsh.similar_groups(signature_table(spark, d), r, SETTINGS)
-    return cut(g), cut(m), r
+    g, m = lsh.similar_groups(settled(signature_table(spark, d)), r, SETTINGS)
+    return settled(g), settled(m), r
 
 
 @query()

@@ -424,3 +424,26 @@ def test_every_kind_has_its_name_check(spark):
     rows = [("python", "function"), ("go", "class"), ("java", "class"), (None, "method"), ("x" * 9, "function"), ("python", "heading"), ("python", None)]
     df = spark.createDataFrame(rows, "language string, region_type string")
     assert [r[0] for r in df.select(names_checked(ruleset("default"))).collect()] == [False, True, False, True, True, False, False]
+
+
+def test_small_graphs_are_joined_by_one_task_and_large_ones_by_rounds(spark, monkeypatch):
+    from graftline.operators import components
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    want = sorted(map(tuple, connected_components(df).collect()))
+    assert jobs() - before <= 12
+    for few in (0, 30):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        assert sorted(map(tuple, connected_components(df).collect())) == want
+    least = dict(want)
+    assert all(least[a] == least[b] <= min(a, b) for a, b in pairs if a != b) and least[1040] == 1000
+
+
+def test_content_lists_keep_the_least_content_of_a_place(spark):
+    rows = [(1, 0, "b"), (1, 0, "a"), (1, 0, "a"), (1, 1, "a"), (1, 2, None), (2, 5, "z"), (1, 3, "c"), (1, 3, "c")]
+    got = dict(map(tuple, verify.content_lists(spark.createDataFrame(rows, "region_id long, seq int, content string")).collect()))
+    assert got == {1: ["a", "a", "c"], 2: ["z"]}
