@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.functions import expressions as X
-from graftline.operators import diff, inspect, lsh, minhash, pairing, regions, report, rules, shingles, verify
+from graftline.operators import diff, inspect, lsh, minhash, pairing, regions, report, rules, shingles, trees, verify
 from graftline.operators.components import connected_components
 from graftline.plans.pipeline import detect, detect_files
 from graftline.runtime import cut, latest, ranked, read, settled
@@ -749,8 +749,8 @@ def t1_tokens_by_line(spark: SparkSession, d: str) -> DataFrame:
 def t2_transformed_source(spark: SparkSession, d: str) -> DataFrame:
     """Every source file's lines as the loose rules leave them."""
     f = sources.scan_table(read(spark, d, "source_files"))
-    nodes = sources.parsed(sources.parse_files(f, tolerant=True, texts=rules.text_kinds(rules.build_rules("loose")))).join(f.select(F.col("file_id").alias("tree_id"), F.col("language").alias("shingle_language")), "tree_id")
-    return inspect.transformed_source(nodes, rules.build_rules("loose"), f.select("file_id", "source")).withColumnRenamed("tree_id", "file_id")
+    loose = rules.build_rules("loose")
+    return trees.transformed_files(f, loose, rules.text_kinds(loose)).withColumnRenamed("tree_id", "file_id")
 
 
 @query("""

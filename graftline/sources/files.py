@@ -67,6 +67,11 @@ def scan_table(source_files: DataFrame) -> DataFrame:
     return f.select("file_id", "path", "rel_path", detect_language().alias("language"), "source").filter("language is not null")
 
 
+def decoded(source: bytes | None) -> str:
+    """A source as the frontends read it: without byte-order marks, lines ended by line feeds."""
+    return (source or b"").decode("utf-8", "ignore").lstrip("﻿").replace("\r\n", "\n")
+
+
 def _parser(batches: Iterator[pa.RecordBatch], tolerant: bool = False, texts: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
     from graftline.sources.frontends import parse
 
@@ -76,7 +81,7 @@ def _parser(batches: Iterator[pa.RecordBatch], tolerant: bool = False, texts: fr
     for b in batches:
         for tree_id, lang, source, offset in zip(*(c.to_pylist() for c in b.columns)):
             try:
-                text = (source or b"").decode("utf-8", "ignore").lstrip("﻿").replace("\r\n", "\n")
+                text = decoded(source)
                 got = []
                 for r in rows(parse(text, lang, tolerant), text, tree_id, offset or 0, texts):
                     #: parents stand before their children, so the kinds above are known already
