@@ -44,4 +44,9 @@ def signatures(shingles: DataFrame, num_perm: int = 128) -> DataFrame:
     permutations run over Arrow batches in numpy."""
     s = shingles.select("region_id", "seq", base_hash("content").alias("h"))
     per = s.groupBy("region_id").agg(F.collect_set("h").alias("h"), F.size(F.collect_set(F.when(F.col("h").isNotNull(), F.col("seq")))).alias("shingle_count"))
-    return per.mapInArrow(_signer(num_perm), "region_id long, sig array<long>, shingle_count int")
+    return signatures_of(per, num_perm)
+
+
+def signatures_of(sets: DataFrame, num_perm: int = 128) -> DataFrame:
+    """The same of sets of base hashes, ``(region_id, h, shingle_count)``."""
+    return sets.mapInArrow(_signer(num_perm), "region_id long, sig array<long>, shingle_count int")

@@ -12,10 +12,10 @@ from functools import partial
 from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftline.functions.expressions import ARROW, VALUE_LENGTH
+from graftline.functions.expressions import ARROW, VALUE_LENGTH, P
 from graftline.operators.regions import EXPLICIT, FENCE_ALIASES, NAME_KINDS
 from graftline.operators.rules import Action, Rule
 from graftline.runtime import spread
@@ -206,7 +206,7 @@ def _injected(tree: Tree, x: tuple, r: Rule, of, texts: frozenset[str]) -> tuple
         return None
 
 
-_FOUND = "file_id long, path string, language string, n_nodes int, root_seq int, end_seq int, region_type string, region_name string, start_line int, end_line int, start_byte int, end_byte int, rule_no int, inject string, injected boolean, shingle_language string, contents array<long>"
+_FOUND = "file_id long, path string, language string, n_nodes int, root_seq int, end_seq int, region_type string, region_name string, start_line int, end_line int, start_byte int, end_byte int, rule_no int, inject string, injected boolean, shingle_language string, signature string, contents array<long>"
 _FOUND_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 _ROWS = "file_id long, region_start int, region_end int, seq int, content string, start_line int, end_line int"
 
@@ -238,14 +238,16 @@ def _finder(batches: Iterator[pa.RecordBatch], rules: list[Rule], texts: frozens
             except _ERRORS:
                 continue
             if not contents:
-                out.append((file_id, path, language, len(tree.nodes), *[None] * 13))
+                out.append((file_id, path, language, len(tree.nodes), *[None] * 14))
+            raw = (source or b"").split(b"\n")
+            first_line = lambda x: raw[x[LINE] - 1].decode("latin-1").strip(" \t\n\x0b\f\r") if source is not None and x[LINE] <= len(raw) else None  # noqa: B023, E731
             for x, n, r, name in tree.regions(min_lines):
                 other = _injected(tree, x, r, of, texts) if r.inject else None
                 own, root = (other[0], 0) if other else (tree, x[SEQ])
                 if contents:
                     out += [(file_id, x[LINE], x[LAST], g[SEQ], c, g[LINE], g[LAST]) for g, c in own.grams(root, k)]
                 else:
-                    out.append((file_id, path, language, None, root, own.nodes[root][END], r.params.get("region_type", "unknown"), name, x[LINE], x[LAST], x[BYTE], x[STOP], n, r.inject, other is not None, other[1] if other else language, [fingerprint(c) for _, c in own.grams(root, k)]))
+                    out.append((file_id, path, language, None, root, own.nodes[root][END], r.params.get("region_type", "unknown"), name, x[LINE], x[LAST], x[BYTE], x[STOP], n, r.inject, other is not None, other[1] if other else language, None if other else first_line(x), [fingerprint(c) for _, c in own.grams(root, k)]))
             if len(out) > 2000:
                 yield _batch(out, _ROWS if contents else _FOUND)
                 out = []
@@ -258,13 +260,19 @@ def found(files: DataFrame, rules: list[Rule], texts: frozenset[str], k: int, mi
     one for each pair of lines of a file, those of another language's content with its tree.
 
     ``contents`` are the fingerprints of their shingles in order, the first 64 bits of md5,
-    which ``base_hash`` shares; a row without ``root_seq`` has a file's number of nodes. With
+    which ``base_hash`` shares; ``signature`` is the stripped first line, as in
+    ``verify.signature_lines``; a row without ``root_seq`` has a file's number of nodes. With
     ``contents``, a row for each shingle and its text instead."""
     f = files.select("file_id", "path", "language", F.col("source").cast("binary").alias("source"))
     run = partial(_finder, rules=rules, texts=TEXT_KINDS | texts, k=k, min_lines=min_lines, contents=contents)
     return spread(f).mapInArrow(run, _ROWS if contents else _FOUND)
 
 
+def print_hash(fingerprint: Column) -> Column:
+    """``base_hash`` of a content by its fingerprint: of the first 32 bits."""
+    return F.shiftrightunsigned(fingerprint, 32) % P
+
+
 def _lines(tree: Tree) -> dict[int, list[tuple[int, int, str]]]:
     """By line, what ``transformed_source`` shows of each node."""
     alive = list(_surviving(tree.nodes, tree.acts, 0, len(tree.nodes) - 1, tree.rules.numbers))

@@ -5,13 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.operators import lsh, minhash, regions, verify
+from graftline.operators import lsh, minhash, regions, trees, verify
 from graftline.operators.rules import build_rules, text_kinds
-from graftline.operators.shingles import shingle_regions
 from graftline.runtime import settled
 from graftline.settings import Settings
 from graftline.sources import files as sources
@@ -19,7 +19,8 @@ from graftline.sources import files as sources
 
 @dataclass
 class Detection:
-    """Tables of one run and, per stage, its items and seconds."""
+    """Tables of one run and, per stage, its items and seconds. ``shingles`` are read from
+    the files again when they are asked for; the run itself has their fingerprints."""
 
     files: DataFrame
     regions: DataFrame
@@ -47,31 +48,37 @@ def detect_files(files: DataFrame, settings: Settings = Settings(), progress: Ca
     def stage(name: str, df: DataFrame) -> DataFrame:
         began = time.time()
         df = settled(df)
-        stages[name] = (df.count(), time.time() - began)
+        told(name, df.count(), began)
+        return df
+
+    def told(name: str, items: int, began: float) -> None:
+        stages[name] = (items, time.time() - began)
         if progress:
             progress(name, *stages[name])
-        return df
 
     rules = build_rules(settings.ruleset, settings.region_filters, settings.additional_regions, settings.excluded_regions)
-    nodes = stage("parse", sources.parsed(sources.parse_files(files, tolerant=True, texts=text_kinds(rules))))
-    #: places without the sources, which are read again only where they are needed
-    places = settled(files.select("file_id", "path", "language"))
-    found = stage("extract", regions.at_least(regions.extract(nodes, places, rules), settings.min_lines))
-    inner = regions.injections(found, nodes)
-    trees = sources.parsed(sources.parse_files(inner.select(F.col("region_id").alias("file_id"), "language", "source", "line_offset"), tolerant=True, texts=text_kinds(rules)))
-    if any(r.inject for r in rules):
-        trees = settled(trees)
-        found = settled(regions.with_injections(found, inner, trees))
-        nodes = nodes.unionByName(trees)
-    sh = stage("shingle", shingle_regions(nodes, found, rules, settings.k))
-    sig = stage("minhash", minhash.signatures(sh, settings.num_perm))
+    began = time.time()
+    look = partial(trees.found, files, rules, text_kinds(rules), settings.k, settings.min_lines)
+    raw = settled(look(), "zstd")
+    told("parse", raw.agg(F.sum("n_nodes")).first()[0] or 0, began)
+    some = raw.filter("root_seq is not null").withColumn("region_id", F.xxhash64("path", "start_line", "end_line"))
+    tree = F.when(F.col("injected"), F.col("region_id")).otherwise(F.col("file_id")).alias("tree_id")
+    found = regions.deduplicated(some.drop("n_nodes", "contents"), ["start_byte", "end_byte", "rule_no", "file_id"])
+    found = stage("extract", found.select("*", tree))
+    began = time.time()
+    if some.count() > stages["extract"][0]:  # files of one path
+        some = settled(some.join(found.select("region_id", "file_id"), ["region_id", "file_id"], "left_semi"), "zstd")
+    lists = some.filter(F.size("contents") > 0).select("region_id", "contents")
+    told("shingle", lists.agg(F.sum(F.size("contents"))).first()[0] or 0, began)
+    sig = stage("minhash", minhash.signatures_of(lists.select("region_id", F.array_distinct(F.transform("contents", trees.print_hash)).alias("h"), F.size("contents").alias("shingle_count")), settings.num_perm))
     groups, members = lsh.similar_groups(sig, found, settings)
     members = stage("lsh", members)
-    lists = verify.content_lists(sh)
-    checked = verify.verified(members, lists, found, verify.signature_lines(found, files), rules, settings.signature_ratio)
+    checked = verify.verified(members, lists, found, found.select("region_id", "signature"), rules, settings.signature_ratio)
     kept = checked.filter(F.col("similarity") >= settings.similarity - 1e-12)
     kept = kept.join(verify.long_groups(members, found, settings.min_lines).select("group_id"), "group_id", "left_semi")
     kept = stage("verify", kept)
+    at = found.select("region_id", "file_id", F.col("start_line").alias("region_start"), F.col("end_line").alias("region_end"))
+    sh = look(contents=True).join(at, ["file_id", "region_start", "region_end"]).select("region_id", "seq", "content", "start_line", "end_line")
     return Detection(files, found, sh, sig, kept, members.join(kept.select("group_id"), "group_id", "left_semi"), stages)
 
 

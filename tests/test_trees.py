@@ -48,3 +48,36 @@ def test_the_view_of_all_files_shuffles_no_nodes(spark, tmp_path):
     assert df.count() > 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_regions_and_shingles_equal_those_over_nodes(spark):
+    """As the pipeline found them over the node table: regions, trees, shingles, first lines."""
+    from graftline.functions.expressions import base_hash
+    from graftline.operators import verify
+    from graftline.plans.pipeline import detect_files
+    from graftline.settings import Settings
+
+    again = spark.createDataFrame([(95, "p1", "javascript", b"\n" + CODE["javascript"].encode()), (96, "p1", "javascript", CODE["javascript"].encode())], table(spark).schema)
+    f = table(spark).unionByName(again).filter("language <> 'unknown'")
+    for name in ("default", "loose"):
+        rs = rules.build_rules(name)
+        nodes = sources.parsed(sources.parse_files(f, tolerant=True, texts=rules.text_kinds(rs))).localCheckpoint()
+        found = regions.at_least(regions.extract(nodes, f.select("file_id", "path", "language"), rs), 2)
+        # files of one path and lines: the choice between them is left open, so only distinct ones compare
+        inner = regions.injections(found, nodes)
+        more = sources.parsed(sources.parse_files(inner.select(F.col("region_id").alias("file_id"), "language", "source", "line_offset"), tolerant=True, texts=rules.text_kinds(rs)))
+        found = regions.with_injections(found, inner, more).localCheckpoint()
+        sh = shingles.shingle_regions(nodes.unionByName(more), found, rs, 3)
+        got = detect_files(f, Settings(ruleset=name, min_lines=2))
+        cols = ["region_id", "path", "language", "shingle_language", "region_type", "region_name", "start_line", "end_line", "root_seq", "end_seq", "start_byte", "end_byte", "inject"]
+        assert sorted(map(str, found.select(cols).collect())) == sorted(map(str, got.regions.select(cols).collect()))
+        cols = ["region_id", "seq", "content", "start_line", "end_line"]
+        want = sorted(map(tuple, sh.select(cols).collect()))
+        assert want == sorted(map(tuple, got.shingles.select(cols).collect())) and len(want) > 200
+        lines = lambda d: sorted(map(str, d.collect()))
+        assert lines(verify.signature_lines(found.filter("path <> 'p1'"), f)) == lines(got.regions.filter("path <> 'p1'").select("region_id", "signature"))
+        sets = sh.groupBy("region_id").agg(F.array_sort(F.collect_set(base_hash("content"))).alias("h"), F.count(F.lit(1)).alias("n"))
+        raw = trees.found(f.filter("file_id not in (95, 96)"), rs, rules.text_kinds(rs), 3, 2).filter("size(contents) > 0")
+        raw = raw.select(F.xxhash64("path", "start_line", "end_line").alias("region_id"), F.array_sort(F.array_distinct(F.transform("contents", trees.print_hash))).alias("h"), F.size("contents").cast("long").alias("n"))
+        assert set(lines(raw.join(found.filter("path <> 'p1'"), "region_id", "left_semi"))) == set(lines(sets.join(found.filter("path <> 'p1'"), "region_id", "left_semi")))
+        assert got.stages["shingle"][0] == len(want)
