@@ -115,9 +115,25 @@ def verified(signatures: DataFrame, settings: Settings) -> DataFrame:
     return estimated(candidates(signatures, settings.lsh_threshold), signatures).filter(F.col("estimate") >= settings.pair_threshold)
 
 
+def _low_bits(num_perm: int) -> Column:
+    """The lowest two bits of each value of a signature, as two planes of 64-bit words; null
+    for signatures of another length."""
+    plane = lambda bit, at: F.aggregate(F.slice("sig", at + 1, F.lit(64)), F.lit(0).cast("long"), lambda w, x: F.shiftleft(w, 1).bitwiseOR(F.shiftrightunsigned(x.cast("long"), bit).bitwiseAND(F.lit(1).cast("long"))))
+    words = [F.struct(plane(0, at).alias("x"), plane(1, at).alias("y")) for at in range(0, num_perm, 64)]
+    return F.when(F.size("sig") == num_perm, F.array(*words))
+
+
+def _can_agree(a: Column, b: Column, num_perm: int, threshold: float) -> Column:
+    """Whether an estimate can reach the threshold: values that differ in their lowest two
+    bits differ, and no more than the rest may."""
+    words = [F.bit_count(a[w]["x"].bitwiseXOR(b[w]["x"]).bitwiseOR(a[w]["y"].bitwiseXOR(b[w]["y"]))) for w in range(-(-num_perm // 64))]
+    return F.coalesce(sum(words[1:], words[0]) <= F.lit(num_perm * (1 - threshold) + 1e-6), F.lit(True))
+
+
 def joining(reps: DataFrame, by_path: DataFrame, settings: Settings) -> DataFrame:
     """(a, b, estimate) of near classes, given their representatives, that join them all. Two classes that span two paths
-    together are wholly linked, so such pairs are contracted before the last look."""
+    together are wholly linked, so such pairs are contracted before the last look. Pairs of
+    a bucket whose signatures' lowest bits differ too often never leave it."""
     paths = settled(by_path.groupBy("rep").agg(F.min("path").alias("lo"), F.max("path").alias("hi")))
     side = lambda s: paths.select(F.col("rep").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
 
@@ -125,8 +141,11 @@ def joining(reps: DataFrame, by_path: DataFrame, settings: Settings) -> DataFram
         e = estimated(pairs, reps).filter(F.col("estimate") >= settings.pair_threshold)
         return e.join(side("a"), "a").join(side("b"), "b").select("a", "b", "estimate", (F.least("lo_a", "lo_b") != F.greatest("hi_a", "hi_b")).alias("strong"))
 
-    buckets = _buckets(reps, settings.lsh_threshold).select(F.col("region_id").alias("cls"), F.lit(1).alias("size"), "bucket")
-    return settled(joining_pairs(settled(buckets), verify, connected_components, keep=settled)).select("a", "b", "estimate")
+    n = settings.num_perm
+    at = bands(reps.withColumn("region_id", F.struct("region_id", _low_bits(n).alias("bits"))), *shape(settings.lsh_threshold))
+    buckets = at.select(F.col("region_id.region_id").alias("cls"), F.col("region_id.bits").alias("size"), F.xxhash64("band", "bucket").alias("bucket"))
+    fits = lambda a, b: _can_agree(a, b, n, settings.pair_threshold)
+    return settled(joining_pairs(settled(buckets), verify, connected_components, fits, keep=settled)).select("a", "b", "estimate")
 
 
 def _apart(x: Column, y: Column) -> Column:

@@ -81,3 +81,21 @@ def test_regions_and_shingles_equal_those_over_nodes(spark):
         raw = raw.select(F.xxhash64("path", "start_line", "end_line").alias("region_id"), F.array_sort(F.array_distinct(F.transform("contents", trees.print_hash))).alias("h"), F.size("contents").cast("long").alias("n"))
         assert set(lines(raw.join(found.filter("path <> 'p1'"), "region_id", "left_semi"))) == set(lines(sets.join(found.filter("path <> 'p1'"), "region_id", "left_semi")))
         assert got.stages["shingle"][0] == len(want)
+
+
+def test_low_bits_rule_out_no_pair_that_reaches_the_threshold(spark):
+    import random
+
+    from graftline.functions.expressions import jaccard_estimate
+    from graftline.operators import lsh
+
+    rng = random.Random(4)
+    sigs = []
+    for i in range(60):
+        sig = [rng.randrange(2**31 - 1) for _ in range(128)] if i % 10 == 0 else [v if rng.random() < 0.8 - i % 10 / 20 else rng.randrange(2**31 - 1) for v in sigs[i - i % 10][1]]
+        sigs.append((i, sig))
+    s = spark.createDataFrame(sigs + [(60, sigs[0][1][:64]), (61, [None, *sigs[0][1][1:]])], "region_id long, sig array<long>").select("region_id", "sig", lsh._low_bits(128).alias("bits"))
+    p = s.toDF("a", "sa", "x").crossJoin(s.toDF("b", "sb", "y")).filter("a < b")
+    got = p.select("a", "b", (jaccard_estimate("sa", "sb") >= 0.64).alias("near"), lsh._can_agree(F.col("x"), F.col("y"), 128, 0.64).alias("fits")).collect()
+    assert all(r["fits"] for r in got if r["near"]) and any(r["near"] for r in got)
+    assert sum(not r["fits"] for r in got) > 0.8 * len(got)
